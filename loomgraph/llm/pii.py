@@ -1,0 +1,141 @@
+"""PII surrogates: detected entities get keyed, type-consistent replacements.
+
+Each character class of an entity is enciphered in place by a keyed format-preserving permutation: digits stay digits,
+letters stay letters of their alphabet and case, punctuation stays. A permutation never maps two entities of one format
+to one surrogate, and the same entity always maps to the same one, so distinctness and coreference hold corpus-wide
+without a shared table. Collision check: a surrogate that equals its original, that is a reserved value, or that for a
+first name leaves its gender list is enciphered again (cycle walking), which keeps the map one-to-one.
+
+Null texts stay null; empty texts have no entities; repeated rows get equal replacements.
+"""
+
+import hashlib
+import hmac
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import small_batches
+
+# Entity patterns, in order of precedence.
+PATTERNS = [
+    ("email", r"[\w.+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
+    ("secret", r"(?:(?<=token = \")|(?<=key = \")|(?<=secret = \")|(?<=password = \"))[A-Za-z0-9+/_-]{8,}|\bAKIA[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36}\b|\b[0-9a-f]{40}\b"),
+    ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
+    ("ssn", r"\b\d{3}-\d{2}-\d{4}\b"),
+    ("ip", r"\b\d{1,3}(?:\.\d{1,3}){3}\b"),
+    ("card", r"\b(?:\d[ -]?){13,19}\b"),
+    ("phone", r"(?<!\w)\+?\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}\b|(?<!\w)\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}\b|\b\d{3}[-. ]\d{3}[-. ]\d{4}\b"),
+    ("name", r"(?<=\bMr\. )[A-Z]\w+(?: [A-Z]\w+)?|(?<=\bMrs\. )[A-Z]\w+(?: [A-Z]\w+)?|(?<=\bMs\. )[A-Z]\w+(?: [A-Z]\w+)?"),
+]
+# First names by gender; a name maps within its list.
+NAMES = {
+    "f": ["Anna", "Carla", "Elena", "Emma", "Julia", "Laura", "Lucy", "Maria", "Marie", "Sarah", "Sofia", "Susan"],
+    "m": ["Carlos", "David", "Hans", "James", "John", "Karl", "Luis", "Marc", "Michael", "Paul", "Peter", "Robert"],
+}
+# Alphabets by script.
+ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "αβγδεζηθικλμνξοπρστυφχψω", "абвгдежзийклмнопрстуфхцчшщъыьэюя"]
+ALPHABETS = ALPHABETS + [a.upper() for a in ALPHABETS[1:]]
+_FIND = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS))
+HEX = "0123456789abcdef"
+
+
+def permute(value: int, size: int, key: bytes, tweak: str) -> int:
+    """A keyed permutation of range(size): an eight-round Feistel network with cycle walking."""
+    if size < 2:
+        return value
+    half = max(1, ((size - 1).bit_length() + 1) // 2)
+    mask = (1 << half) - 1
+    while True:
+        a, b = value >> half, value & mask
+        for r in range(8):
+            d = hmac.new(key, f"{tweak}|{r}|{half}|{b}".encode(), hashlib.blake2b).digest()
+            a, b = b, a ^ (int.from_bytes(d, "big") & mask)
+        value = a << half | b
+        if value < size:
+            return value
+
+
+def _alphabet(c: str, kind: str, original: str) -> str | None:
+    if kind == "secret" and set(original) <= set(HEX):
+        return HEX
+    return next((a for a in ALPHABETS if c in a), None)
+
+
+def _once(entity: str, kind: str, key: bytes) -> str:
+    alphabets = [_alphabet(c, kind, entity) for c in entity]
+    if kind == "email":  # the ending stays, so that the surrogate is a well-formed address of the same kind
+        last = entity.rindex(".")
+        alphabets[last:] = [None] * (len(entity) - last)
+    if kind == "phone" and entity[:1] == "+":  # country calling code stays
+        stop = next((i for i, c in enumerate(entity) if i and not c.isdigit()), 0)
+        alphabets[:stop] = [None] * stop
+    value, size = 0, 1
+    for c, a in zip(entity, alphabets):
+        if a:
+            value, size = value * len(a) + a.index(c), size * len(a)
+    shape = "".join(c if not a else str(ALPHABETS.index(a)) if a in ALPHABETS else "h" for c, a in zip(entity, alphabets))
+    value, out = permute(value, size, key, f"{kind}|{shape}"), []
+    for c, a in zip(reversed(entity), reversed(alphabets)):
+        if a:
+            value, i = divmod(value, len(a))
+            c = a[i]
+        out.append(c)
+    return "".join(reversed(out))
+
+
+def _reserved(s: str, kind: str) -> bool:
+    if kind == "ip":
+        return any(int(x) > 255 for x in s.split("."))
+    return kind == "name" and any(s.split(" ")[0] in names for names in NAMES.values())
+
+
+def surrogate(entity: str, kind: str, key: bytes) -> str:
+    """The replacement of an entity: same kind, format and script; one-to-one per kind and format."""
+    if kind == "name":
+        first, _, rest = entity.partition(" ")
+        for g, names in NAMES.items():
+            if first in names:
+                i = permute(names.index(first), len(names), key, f"first|{g}")
+                return names[i] + (f" {_walk(rest, 'last', key)}" if rest else "")
+    return _walk(entity, kind, key)
+
+
+def _walk(entity: str, kind: str, key: bytes) -> str:
+    if kind == "ip" and _reserved(entity, kind):
+        return _once(entity, "ip-like", key)
+    s = _once(entity, kind, key)
+    while _reserved(s, kind) and s != entity:
+        s = _once(s, kind, key)
+    return s
+
+
+def replace(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int, str]]]:
+    """The text with surrogates, and (kind, start, end, surrogate) of each entity in the original text."""
+    spans, out, at = [], [], 0
+    for m in _FIND.finditer(text):
+        s = surrogate(m.group(), m.lastgroup, key)
+        spans.append((m.lastgroup, m.start(), m.end(), s))
+        out += [text[at : m.start()], s]
+        at = m.end()
+    return "".join([*out, text[at:]]), spans
+
+
+def anonymize(docs: DataFrame, key: bytes = b"a key of the user's own", text: str = "text") -> DataFrame:
+    """``docs`` with ``text`` replaced and ``pii``: array of (kind, begin, end, surrogate)."""
+    small_batches(docs.sparkSession)
+
+    @F.pandas_udf("text string, pii array<struct<kind:string,begin:int,end:int,surrogate:string>>")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in parts:
+            rows = []
+            for t in s:
+                new, spans = (None, []) if t is None else replace(t, key)
+                rows.append((new, [dict(zip(("kind", "begin", "end", "surrogate"), x)) for x in spans]))
+            yield pd.DataFrame(rows, columns=["text", "pii"])
+
+    done = docs.withColumn("_p", run(F.col(text)))
+    return done.select(*[F.col("_p.text").alias(text) if c == text else F.col(c) for c in docs.columns], "_p.pii")
