@@ -87,9 +87,13 @@ def _once(entity: str, kind: str, key: bytes) -> str:
     return "".join(reversed(out))
 
 
+def _luhn(digits: str) -> str:
+    """The check digit that follows ``digits``."""
+    odd = [int(c) for c in digits[::-1]]
+    return str(-sum(x if i % 2 else sum(divmod(2 * x, 10)) for i, x in enumerate(odd)) % 10)
+
+
 def _reserved(s: str, kind: str) -> bool:
-    if kind == "ip":
-        return any(int(x) > 255 for x in s.split("."))
     return kind == "name" and any(s.split(" ")[0] in names for names in NAMES.values())
 
 
@@ -105,8 +109,15 @@ def surrogate(entity: str, kind: str, key: bytes) -> str:
 
 
 def _walk(entity: str, kind: str, key: bytes) -> str:
-    if kind == "ip" and _reserved(entity, kind):
-        return _once(entity, "ip-like", key)
+    parts = entity.split(".")
+    if kind == "ip" and all(str(int(x)) == x and int(x) < 256 for x in parts):
+        n = permute(sum(int(x) << 8 * (3 - i) for i, x in enumerate(parts)), 1 << 32, key, "ip")
+        return ".".join(str(n >> 8 * (3 - i) & 255) for i in range(4))
+    digits = "".join(c for c in entity if c.isdigit())
+    if kind == "card" and len(digits) > 1 and _luhn(digits[:-1]) == digits[-1]:  # valid numbers stay valid
+        last = max(i for i, c in enumerate(entity) if c.isdigit())
+        s = _once(entity[:last], "card", key)
+        return s + _luhn("".join(c for c in s if c.isdigit())) + entity[last + 1 :]
     s = _once(entity, kind, key)
     while _reserved(s, kind) and s != entity:
         s = _once(s, kind, key)

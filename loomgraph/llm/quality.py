@@ -15,13 +15,14 @@ from pyspark.sql import functions as F
 
 from .common import WORD, cut, let, words
 
-#: rule -> (signal, good at or below, bad above); between the two the rule abstains.
+#: rule -> (signal, good at or below (None: never votes good), bad above); between the two the rule abstains.
 RULES = {
-    "symbols": ("s_symbols", 0.05, 0.2),
-    "shouting": ("s_upper", 0.2, 0.5),
-    "exclaims": ("s_exclaim", 0.1, 0.3),
-    "repeats": ("s_repeat", 0.1, 0.3),
-    "dup_lines": ("s_dup", 0.1, 0.3),
+    "symbols": ("s_symbols", None, 0.2),
+    "shouting": ("s_upper", None, 0.5),
+    "exclaims": ("s_exclaim", None, 0.3),
+    "repeats": ("s_repeat", None, 0.3),
+    "dup_lines": ("s_dup", None, 0.3),
+    "letters": ("s_other", 0.06, 0.1),
     "word_length": ("s_length", 12.0, 20.0),
 }
 
@@ -49,20 +50,22 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
         F.length(F.regexp_replace(t, r"[^\p{Lu}]+", "")).alias("_upper"),
         F.length(F.regexp_replace(t, r"[^!]+", "")).alias("_exclaim"),
         F.size(lines).alias("_lines"),
+        F.length(F.regexp_replace(t, r"[^\p{L}\p{M}\p{N}]+", "")).alias("_plain"),
     )
     per = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
     return out.select(
-        *[c for c in out.columns if c not in ("_upper", "_exclaim", "_lines")],
+        *[c for c in out.columns if c not in ("_upper", "_exclaim", "_lines", "_plain")],
         ((F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).alias("base_failed"),
         per("n_symbols", "n_words").alias("s_symbols"), per("_upper", "word_chars").alias("s_upper"), per("_exclaim", "n_words").alias("s_exclaim"),
         per("n_repeat_words", "n_words").alias("s_repeat"), per("n_dup_lines", "_lines").alias("s_dup"), per("word_chars", "n_words").alias("s_length"),
+        (1 - per("_plain", "word_chars")).alias("s_other"),
     )
 
 
 def vote(df: DataFrame) -> DataFrame:
     """Add one column ``v_<rule>`` per rule: 1 good, 0 bad, -1 abstains (no word: every rule abstains)."""
     return df.select("*", *[
-        F.when(F.col("n_words") == 0, -1).when(F.col(s) <= good, 1).when(F.col(s) > bad, 0).otherwise(-1).alias(f"v_{r}") for r, (s, good, bad) in RULES.items()
+        F.when(F.col("n_words") == 0, -1).when(F.lit(good is not None) & (F.col(s) <= F.lit(good)), 1).when(F.col(s) > bad, 0).otherwise(-1).alias(f"v_{r}") for r, (s, good, bad) in RULES.items()
     ])
 
 
