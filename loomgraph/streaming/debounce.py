@@ -1,0 +1,9 @@
+"""Debounced change batches over a stream: session windows per key, closed by the watermark."""
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def debounce(stream: DataFrame, key: str, ts: str, gap: str = "10 minutes", late: str = "1 hour") -> DataFrame:
+    window = F.session_window(F.col(ts), gap)
+    return stream.withWatermark(ts, late).groupBy(key, window).agg(F.count(F.lit(1)).alias("n_events")).select(key, "session_window.start", "session_window.end", "n_events")
