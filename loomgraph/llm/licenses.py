@@ -1,6 +1,6 @@
 """License scans by sentence rules.
 
-Sentences (split at line ends and at ``. ``, ``!``, ``?``) are normalised to lower-case letters, digits and single
+Sentences (split at line ends, at stops before a blank, and at ``!`` and ``?``) are normalised to lower-case letters, digits and single
 blanks, mapped to identifiers of known licence sentences, and the identifier sequence of each document is matched
 against ordered rules. A rule matches where its identifiers follow each other with no other *known* sentence between.
 
@@ -40,8 +40,8 @@ RULES = [
     ("CC-BY-4.0", "permissive", ["ccby4.name"]),
     ("proprietary", "reserved", ["reserved"]),
 ]
-#: A stop after a digit (version numbers) or before no blank does not end a sentence.
-SPLIT = r"\n|[!?]+|(?<![0-9])\.+(?=\s|$)"
+#: A stop before no blank (version numbers) does not end a sentence.
+SPLIT = r"\n|[!?]+|\.+(?=\s|$)"
 
 
 def scan(docs: DataFrame, text: str = "text", sentences=None, rules=None) -> DataFrame:
