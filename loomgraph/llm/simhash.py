@@ -119,7 +119,7 @@ def links(fps: DataFrame, radius: int = 3, cell: int = 20_000) -> DataFrame:
     level = _cells(fps.withColumn("_rest", F.col("_fp")), F.lit("c"), 0, 4, 16)
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        pairs = trie_forest(pdf["_fp"].to_numpy("int64").view("uint64"), radius)
+        pairs = trie_forest(np.unique(pdf["_fp"].to_numpy("int64").view("uint64")), radius)
         return pd.DataFrame(np.array(pairs, dtype="uint64").reshape(-1, 2).view("int64"), columns=["_fp", "_root"])
 
     edges = None
@@ -130,7 +130,8 @@ def links(fps: DataFrame, radius: int = 3, cell: int = 20_000) -> DataFrame:
         heavy = cut(heavy)
         last = not width or heavy.isEmpty()
         light = level if last else level.join(heavy, "_key", "left_anti")
-        found = light.select("_key", "_fp").groupBy("_key").applyInPandas(join, "_fp long, _root long")
+        # Most cells hold a few codes: cells share buckets, and one trie serves a whole bucket.
+        found = light.select(F.pmod(F.xxhash64("_key"), F.lit(max(64, level.count() // 4000))).alias("_b"), "_fp").groupBy("_b").applyInPandas(join, "_fp long, _root long")
         edges = found if edges is None else edges.unionByName(found)
         if last:
             return edges.distinct()
