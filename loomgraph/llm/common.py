@@ -20,9 +20,18 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def small_pages(spark: SparkSession) -> None:
+    """Writers look at a page's size every few rows and close row groups early, so that very long texts do not pile up in them."""
+    spark.conf.set("parquet.page.size.row.check.min", "4")
+    spark.conf.set("parquet.page.size.row.check.max", "64")
+    spark.conf.set("parquet.block.size.row.check.min", "16")
+    spark.conf.set("parquet.block.size", str(32 << 20))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends, lost executors cost no recomputation."""
     spark = df.sparkSession
+    small_pages(spark)
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
