@@ -42,6 +42,15 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def sample(rows: DataFrame, text: str, doc_id: str, most: int) -> list[str | None]:
+    """Texts of the ``most`` rows of smallest id hash. The cut-off is found without texts, so tasks return about ``most`` texts in all."""
+    hashed = rows.select(text, F.xxhash64(doc_id).alias("_o"), doc_id)
+    last = hashed.select("_o").orderBy("_o").limit(most).agg(F.max("_o")).first()[0]
+    if last is None:
+        return []
+    return [r[0] for r in hashed.where(F.col("_o") <= last).orderBy("_o", doc_id).limit(most).collect()]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import sample, small_batches
 
 MAX_TRAIN, BUCKETS, SEED = 600, 1 << 13, 7
 # Language families by language code.
@@ -68,9 +68,8 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: s
     known = sorted(r[0] for r in rows.select(lang).distinct().collect())
     x, y = [], []
     for code in known:
-        sample = rows.where(F.col(lang) == code).select(text, F.xxhash64(doc_id).alias("_o"), doc_id).orderBy("_o", doc_id).limit(most)
-        for r in sample.collect():
-            if (v := features(r[0])) is not None:
+        for t in sample(rows.where(F.col(lang) == code), text, doc_id, most):
+            if (v := features(t)) is not None:
                 x.append(v)
                 y.append(code)
     if not x:

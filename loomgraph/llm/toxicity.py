@@ -18,7 +18,7 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import sample, small_batches
 
 MAX_TRAIN = 4000
 WIDTH, STEP = 2, 1
@@ -91,10 +91,7 @@ def calibrate(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> np.ndarray:
 
 def train(labelled: DataFrame, text: str = "text", label: str = "toxic", doc_id: str = "doc_id", most: int = MAX_TRAIN):
     """(toxic dictionary, ordinary dictionary, calibration), or None without both classes. Null labels are left out."""
-    rows = [
-        [(r[0] or "") for r in labelled.where(F.col(label) == c).select(text, F.xxhash64(doc_id).alias("_o"), doc_id).orderBy("_o", doc_id).limit(most).collect()]
-        for c in (1, 0)
-    ]
+    rows = [[t or "" for t in sample(labelled.where(F.col(label) == c), text, doc_id, most)] for c in (1, 0)]
     if not all(rows):
         return None
     # Dictionaries come from one half, calibration from the other: a dictionary knows its own texts too well.
