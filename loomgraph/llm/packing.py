@@ -2,8 +2,8 @@
 
 Documents become pieces of at most ``capacity`` tokens. Over the histogram of piece lengths (at most ``capacity``
 entries), the configuration LP is solved by multiplicative weights: each round prices lengths, and an unbounded knapsack
-dynamic programme finds the best configuration. The fractional solution is rounded down, and what is left is packed by
-best fit over the histogram. Pieces then find their place by their rank among pieces of their length.
+dynamic programme finds the best configuration, until every length's need is covered. The fractional solution is rounded
+down, and what the rounding leaves is packed by best fit over the histogram. Pieces then find their place by their rank among pieces of their length.
 
 Null texts are empty and hold the end token alone. Repeated rows are packed each on its own. An empty table gives an
 empty result. The driver holds the histogram and the configurations, both bounded by ``capacity``.
@@ -90,34 +90,41 @@ def _fill(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], i
     return out
 
 
-def configure(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = 400) -> list[tuple[dict[int, int], int]]:
+def relax(lengths: np.ndarray, need: np.ndarray, capacity: int = CAPACITY) -> dict[tuple[int, ...], float]:
+    """Configuration (indices of lengths, with repeats) -> fractional uses; together they cover every length's need exactly."""
+    used, seen = np.zeros(len(lengths)), {}
+    # Each round covers a length or a part of its need; fewer lengths get finer parts. Prices grow faster than lengths, as
+    # short lengths are easier to place in the end.
+    parts = min(8, max(2, 2048 // len(lengths)))
+    while len(open_ := np.flatnonzero(used < need)):
+        prices = (lengths / capacity) ** 2 * np.exp(-0.2 * np.clip(used / need - used.sum() / need.sum(), -20, 20))
+        chosen = tuple(int(open_[i]) for i in knapsack(prices[open_], lengths[open_], capacity))
+        ids, copies = np.unique(chosen, return_counts=True)
+        most = float(((need - used)[ids] / copies).min())
+        step = min(most, float((need[ids] / copies).min()) / parts)
+        seen[chosen] = seen.get(chosen, 0.0) + step
+        used[ids] += step * copies
+        full = ids[need[ids] - used[ids] <= 1e-9 * need[ids]]
+        used[full] = need[full]
+    return seen
+
+
+def configure(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
     """Configurations (length -> copies) and how many sequences use each; together they place every piece exactly."""
     if not counts:
         return []
     lengths = np.array(sorted(counts))
-    need = np.array([counts[n] for n in lengths], float)
-    weights, used, seen = lengths / capacity, np.zeros(len(lengths)), {}
-    for t in range(1, rounds + 1):
-        chosen = tuple(knapsack(weights, lengths, capacity))
-        copies = np.bincount(chosen, minlength=len(lengths))
-        # The chosen configuration runs until one of its lengths is covered by a rounds-th of its need.
-        step = max(1e-9, (need[copies > 0] / copies[copies > 0]).min()) / 8
-        seen[chosen] = seen.get(chosen, 0.0) + step
-        used += step * copies
-        weights = (lengths / capacity) * np.exp(-2.0 * np.clip(used / need - used.sum() / need.sum(), -20, 20))
-    scale = max(1.0, float((used / need).max()))
+    seen = relax(lengths, np.array([counts[n] for n in lengths], float), capacity)
     left, plan = dict(counts), []
     for chosen, x in sorted(seen.items(), key=lambda kv: (-kv[1], kv[0])):
         ids, copies = np.unique(chosen, return_counts=True)
         pattern = {int(lengths[i]): int(k) for i, k in zip(ids, copies)}
-        times = min(int(x / scale), *(left[n] // k for n, k in pattern.items()))
+        times = min(int(x + 1e-6), *(left[n] // k for n, k in pattern.items()))
         if times:
             plan.append((pattern, times))
             for n, k in pattern.items():
                 left[n] -= k * times
-    plan += _fill({n: k for n, k in left.items() if k}, capacity)
-    plain = _fill(counts, capacity)
-    return min(plan, plain, key=lambda p: sum(t for _, t in p))
+    return plan + _fill({n: k for n, k in left.items() if k}, capacity)
 
 
 def slots(plan: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarray]:
