@@ -26,12 +26,38 @@ SENTENCES = {
     "bsd.binary": "redistributions in binary form must reproduce the above copyright notice",
     "reserved": "all rights reserved",
 }
+_GPL = "you can redistribute it and or modify it under the terms of the gnu {}general public license as published by the free software foundation"
+_TAILS = [f" either version {v} of the license or at your option any later version" for v in ("2", "2 1", "3")]
+_LISTED = "redistributions {} the above copyright notice this list of conditions and the following disclaimer"
+# Identifier -> further normalised sentences, whole as in the unmodified notices.
+VARIANTS = {
+    "mit.grant": [
+        SENTENCES["mit.grant"] + " the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"
+    ],
+    "mit.title": ["the mit license", "the mit license mit", "spdx license identifier mit"],
+    "apache.name": ["licensed under the apache license version 2 0 the license", "spdx license identifier apache 2 0"],
+    "apache.use": ["you may not use this file except in compliance with the license you may obtain a copy of the license at"],
+    "gpl.redistribute": [_GPL.format("") + t for t in ["", *_TAILS]],
+    "lgpl.free": ["this library is free software"],
+    "lgpl.redistribute": [_GPL.format("lesser ") + t for t in ["", *_TAILS]],
+    "agpl.redistribute": [_GPL.format("affero ") + t for t in ["", *_TAILS]],
+    "mpl2.name": ["this source code form is subject to the terms of the mozilla public license v"],
+    "isc.grant": [f"permission to use copy modify and {x}distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies" for x in ("", "or ")],
+    "bsd.keep": [_LISTED.format("of source code must retain")],
+    "bsd.binary": [_LISTED.format("in binary form must reproduce") + " in the documentation and or other materials provided with the distribution"],
+}
 # Ordered rules, longest first; (licence, class, identifier sequence).
 RULES = [
     ("MIT", "permissive", ["mit.title", "mit.grant"]),
     ("Apache-2.0", "permissive", ["apache.name", "apache.use"]),
     ("GPL", "copyleft", ["gpl.free", "gpl.redistribute"]),
+    ("LGPL", "copyleft", ["lgpl.free", "lgpl.redistribute"]),
+    ("LGPL", "copyleft", ["gpl.free", "lgpl.redistribute"]),
+    ("AGPL", "copyleft", ["gpl.free", "agpl.redistribute"]),
     ("BSD", "permissive", ["bsd.keep", "bsd.binary"]),
+    ("MIT", "permissive", ["mit.grant"]),
+    ("ISC", "permissive", ["isc.grant"]),
+    ("MPL-2.0", "copyleft", ["mpl2.name"]),
     ("MIT", "permissive", ["mit.name"]),
     ("MIT", "permissive", ["mit.title"]),
     ("Apache-2.0", "permissive", ["apache.name"]),
@@ -42,23 +68,29 @@ RULES = [
 ]
 #: A stop before no blank (version numbers) does not end a sentence.
 SPLIT = r"\n|[!?]+|\.+(?=\s|$)"
+#: Wrapped notices: lines are joined, and sentences end at copyright lines, lines without letters, stops, ``;`` and ``:``.
+COPYRIGHT = r"(?im)^[^\p{L}\p{N}\n]*(?:copyright|©).*$"
+WRAPPED = r"\n[^\p{L}\p{N}\n]*(?=\n)|[!?;:]+|\.+(?=\s|$)"
 
 
 def scan(docs: DataFrame, text: str = "text", sentences=None, rules=None) -> DataFrame:
     """Add ``n_sentences`` (long), ``sentence_ids`` (array, known sentences in order) and ``licenses`` (sorted array)."""
     sentences, rules = sentences or SENTENCES, rules or RULES
-    known = F.create_map(*[F.lit(x) for k, v in sentences.items() for x in (v, k)])
-    parts = F.filter(
-        F.transform(
-            F.split(F.coalesce(F.col(text), F.lit("")), SPLIT),
-            lambda s: F.trim(F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}]+", " ")),
-        ),
-        lambda s: s != "",
-    )
-    out = docs.withColumn("_parts", parts)
-    out = out.withColumn("sentence_ids", F.filter(F.transform("_parts", lambda s: F.try_element_at(known, s)), lambda x: x.isNotNull()))
-    chain = F.concat(F.lit(" "), F.array_join("sentence_ids", "  "), F.lit(" "))
+    pairs = [*sentences.items(), *((k, v) for k, more in (VARIANTS if sentences is SENTENCES else {}).items() for v in more)]
+    known = F.create_map(*[F.lit(x) for k, v in pairs for x in (v, k)])
+    whole = F.coalesce(F.col(text), F.lit(""))
+
+    def split(value, pattern):
+        clean = F.transform(F.split(value, pattern), lambda s: F.trim(F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}]+", " ")))
+        return F.filter(clean, lambda s: s != "")
+
+    named = lambda parts: F.filter(F.transform(parts, lambda s: F.try_element_at(known, s)), lambda x: x.isNotNull())
+    out = docs.withColumn("_parts", split(whole, SPLIT))
+    out = out.withColumn("_lines", named(F.col("_parts"))).withColumn("_joined", named(split(F.regexp_replace(whole, COPYRIGHT, "\n\n"), WRAPPED)))
+    # A text is read by lines and with lines joined; the reading that knows more sentences gives their identifiers.
+    out = out.withColumn("sentence_ids", F.when(F.size("_joined") > F.size("_lines"), F.col("_joined")).otherwise(F.col("_lines")))
+    chain = F.concat(*[F.concat(F.lit(" "), F.array_join(c, "  "), F.lit(" |")) for c in ("_lines", "_joined")])
     hits = [F.when(F.col("_chain").contains(" " + "  ".join(seq) + " "), F.lit(name)) for name, _, seq in rules]
     out = out.withColumn("_chain", chain)
     found = F.array_sort(F.array_distinct(F.array_compact(F.array(*hits))))
-    return out.withColumn("n_sentences", F.size("_parts").cast("long")).withColumn("licenses", found).drop("_parts", "_chain")
+    return out.withColumn("n_sentences", F.size("_parts").cast("long")).withColumn("licenses", found).drop("_parts", "_lines", "_joined", "_chain")
