@@ -4,7 +4,8 @@ Each character class of an entity is enciphered in place by a keyed format-prese
 letters stay letters of their alphabet and case, punctuation stays. A permutation never maps two entities of one format
 to one surrogate, and the same entity always maps to the same one, so distinctness and coreference hold corpus-wide
 without a shared table. Collision check: a surrogate that equals its original, that is a reserved value, or that for a
-first name leaves its gender list is enciphered again (cycle walking), which keeps the map one-to-one.
+first name leaves its gender list is never given: the permutations are single keyed cycles without fixed points, and
+reserved values are walked over along the cycle, which keeps the map one-to-one.
 
 Null texts stay null; empty texts have no entities; repeated rows get equal replacements.
 """
@@ -12,7 +13,9 @@ Null texts stay null; empty texts have no entities; repeated rows get equal repl
 import hashlib
 import hmac
 import re
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,6 +23,9 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
+# Capitals, and the titles that announce a name.
+CAPITAL = "[A-ZÀ-ÖØ-ÞŒŠŽΑ-ΩА-ЯЁ]"
+TITLES = [r"Mr\.", r"Mrs\.", r"Ms\.", "Herr", "Herrn", "Frau", r"M\.", "Mme", "Mlle", "Monsieur", "Madame", r"Sr\.", r"Sra\.", r"Srta\.", "Señor", "Señora"]
 # Entity patterns, in order of precedence.
 PATTERNS = [
     ("email", r"[\w.+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
@@ -29,7 +35,7 @@ PATTERNS = [
     ("ip", r"\b\d{1,3}(?:\.\d{1,3}){3}\b"),
     ("card", r"\b(?:\d[ -]?){13,19}\b"),
     ("phone", r"(?<!\w)\+?\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}\b|(?<!\w)\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}\b|\b\d{3}[-. ]\d{3}[-. ]\d{4}\b"),
-    ("name", r"(?<=\bMr\. )[A-Z]\w+(?: [A-Z]\w+)?|(?<=\bMrs\. )[A-Z]\w+(?: [A-Z]\w+)?|(?<=\bMs\. )[A-Z]\w+(?: [A-Z]\w+)?"),
+    ("name", rf"(?={CAPITAL})(?:" + "|".join(rf"(?<=\b{t} )" for t in TITLES) + rf"){CAPITAL}\w+(?: {CAPITAL}\w+)?"),
 ]
 # First names by gender; a name maps within its list.
 NAMES = {
@@ -59,10 +65,39 @@ def permute(value: int, size: int, key: bytes, tweak: str) -> int:
             return value
 
 
+def _unpermute(value: int, size: int, key: bytes, tweak: str) -> int:
+    half = max(1, ((size - 1).bit_length() + 1) // 2)
+    mask = (1 << half) - 1
+    while True:
+        a, b = value >> half, value & mask
+        for r in reversed(range(8)):
+            d = hmac.new(key, f"{tweak}|{r}|{half}|{a}".encode(), hashlib.blake2b).digest()
+            a, b = b ^ (int.from_bytes(d, "big") & mask), a
+        value = a << half | b
+        if value < size:
+            return value
+
+
+def derange(value: int, size: int, key: bytes, tweak: str) -> int:
+    """The next value in a keyed order of range(size): one-to-one, and never ``value`` itself."""
+    return value if size < 2 else _unpermute((permute(value, size, key, tweak) + 1) % size, size, key, tweak)
+
+
+@lru_cache(1 << 16)
+def _letters(c: str) -> str | None:
+    """The alphabet of a letter or digit; beyond the fixed ones, its like in its block of 256 characters."""
+    fixed = next((a for a in ALPHABETS if c in a), None)
+    kind = unicodedata.category(c)
+    if fixed or kind[0] != "L" and kind != "Nd":
+        return fixed
+    start, known = ord(c) & ~255, "".join(ALPHABETS)
+    return "".join(x for x in map(chr, range(start, start + 256)) if unicodedata.category(x) == kind and x not in known)
+
+
 def _alphabet(c: str, kind: str, original: str) -> str | None:
     if kind == "secret" and set(original) <= set(HEX):
         return HEX
-    return next((a for a in ALPHABETS if c in a), None)
+    return _letters(c)
 
 
 def _once(entity: str, kind: str, key: bytes) -> str:
@@ -77,8 +112,8 @@ def _once(entity: str, kind: str, key: bytes) -> str:
     for c, a in zip(entity, alphabets):
         if a:
             value, size = value * len(a) + a.index(c), size * len(a)
-    shape = "".join(c if not a else str(ALPHABETS.index(a)) if a in ALPHABETS else "h" for c, a in zip(entity, alphabets))
-    value, out = permute(value, size, key, f"{kind}|{shape}"), []
+    shape = "".join(c if not a else str(ALPHABETS.index(a)) if a in ALPHABETS else "h" if a == HEX else f"<{a[0]}>" for c, a in zip(entity, alphabets))
+    value, out = derange(value, size, key, f"{kind}|{shape}"), []
     for c, a in zip(reversed(entity), reversed(alphabets)):
         if a:
             value, i = divmod(value, len(a))
@@ -97,21 +132,25 @@ def _reserved(s: str, kind: str) -> bool:
     return kind == "name" and any(s.split(" ")[0] in names for names in NAMES.values())
 
 
+def _word(word: str, key: bytes) -> str:
+    for g, names in NAMES.items():
+        if word in names:
+            return names[derange(names.index(word), len(names), key, f"first|{g}")]
+    return _walk(word, "name", key)
+
+
+@lru_cache(1 << 16)
 def surrogate(entity: str, kind: str, key: bytes) -> str:
     """The replacement of an entity: same kind, format and script; one-to-one per kind and format."""
-    if kind == "name":
-        first, _, rest = entity.partition(" ")
-        for g, names in NAMES.items():
-            if first in names:
-                i = permute(names.index(first), len(names), key, f"first|{g}")
-                return names[i] + (f" {_walk(rest, 'last', key)}" if rest else "")
+    if kind == "name":  # every word alone, so that a surname keeps its surrogate with and without a first name
+        return " ".join(_word(w, key) for w in entity.split(" "))
     return _walk(entity, kind, key)
 
 
 def _walk(entity: str, kind: str, key: bytes) -> str:
     parts = entity.split(".")
     if kind == "ip" and all(str(int(x)) == x and int(x) < 256 for x in parts):
-        n = permute(sum(int(x) << 8 * (3 - i) for i, x in enumerate(parts)), 1 << 32, key, "ip")
+        n = derange(sum(int(x) << 8 * (3 - i) for i, x in enumerate(parts)), 1 << 32, key, "ip")
         return ".".join(str(n >> 8 * (3 - i) & 255) for i in range(4))
     digits = "".join(c for c in entity if c.isdigit())
     if kind == "card" and len(digits) > 1 and _luhn(digits[:-1]) == digits[-1]:  # valid numbers stay valid
