@@ -72,6 +72,31 @@ def optional_match(s, d):
     return src.parts(s, d).where("start_line = 1").join(e, "id", "left").select("id", "target_id")
 
 
+@query("SELECT source_id, target_id, type, confidence FROM edges WHERE type = 'CALLS'")
+def hop_out_all(s, d):
+    return src.calls(s, d).where("type = 'CALLS'").select("source_id", "target_id", "type", "confidence")
+
+
+@query("SELECT target_id, source_id AS caller FROM edges WHERE type = 'CALLS'")
+def hop_in_all(s, d):
+    return src.calls(s, d).where("type = 'CALLS'").select("target_id", F.col("source_id").alias("caller"))
+
+
+@query("SELECT a, c, sum(x.n * y.n)::BIGINT AS n FROM (SELECT source_id AS a, target_id AS b, count(*) AS n FROM edges WHERE type = 'CALLS' GROUP BY 1, 2) x JOIN (SELECT source_id AS b, target_id AS c, count(*) AS n FROM edges WHERE type = 'HTTP_CALLS' GROUP BY 1, 2) y USING (b) GROUP BY 1, 2")
+def multi_hop_chain_all(s, d):
+    """Two-hop chains over all edges, counted per pair of ends."""
+    e = src.calls(s, d)
+    a = e.where("type = 'CALLS'").groupBy(F.col("source_id").alias("a"), F.col("target_id").alias("b")).agg(F.count(F.lit(1)).alias("_n"))
+    b = e.where("type = 'HTTP_CALLS'").groupBy(F.col("source_id").alias("b"), F.col("target_id").alias("c")).agg(F.count(F.lit(1)).alias("_m"))
+    return a.join(b, "b").groupBy("a", "c").agg(F.sum(F.col("_n") * F.col("_m")).alias("n"))
+
+
+@query("SELECT n.id, e.target_id FROM nodes n LEFT JOIN edges e ON n.id = e.source_id AND e.type = 'CALLS' WHERE n.label = 'Part'")
+def optional_match_all(s, d):
+    e = src.calls(s, d).where("type = 'CALLS'").select(F.col("source_id").alias("id"), "target_id")
+    return src.parts(s, d).join(e, "id", "left").select("id", "target_id")
+
+
 @query("SELECT id FROM nodes n WHERE label = 'Part' AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.target_id = n.id AND type = 'CALLS')")
 def not_exists_in(s, d):
     return src.parts(s, d).join(src.calls(s, d).where("type = 'CALLS'").select(F.col("target_id").alias("id")), "id", "left_anti").select("id")
