@@ -1,14 +1,21 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries (raw content, chosen from the words that the labelled rows of a class show most) stand for
-toxic and for ordinary text: the library's own trainer cuts words apart and lost most of the signal on short windows. A text is read in overlapping windows of
-words; a window's evidence is how many bytes fewer it takes with the toxic dictionary than with the ordinary one. The
-largest evidences of a document, calibrated by a logistic curve on labelled rows, are its score.
+Two zstandard dictionaries are trained, on toxic and on ordinary text. A text is read in windows; a window's evidence is
+how many bytes fewer it takes with the toxic dictionary than with the ordinary one. A window is one word between blanks:
+an abusive word among ordinary ones is lost in the noise of longer windows. How many windows of a document pass each of
+several thresholds, calibrated by a logistic curve on labelled rows, gives its score.
+
+Labels mark documents, not windows. The samples for the toxic dictionary are therefore the stretches of toxic texts whose
+byte n-grams stand there significantly more often than in ordinary texts (log-likelihood ratio over distinct contexts, so
+that copies of a text are one witness); the ordinary dictionary is trained on whole ordinary texts. Calibration measures
+each half of the training rows with dictionaries of the other half.
 
 Training uses at most ``MAX_TRAIN`` labelled rows per class, those of smallest hash. Null and empty texts have no windows
-and get the calibrated score of no evidence. Without rows of both classes every score is 0. Rows repeat as given.
+and get the calibrated score of no evidence; very long texts and words are read whole. Without rows of both classes every
+score is 0. Rows repeat as given and equal texts get equal scores. An own column named ``score`` is replaced.
 """
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -18,102 +25,170 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sample, small_batches
+from .common import boxed, quoted, sample, small_batches, unboxed
 
 MAX_TRAIN = 4000
-WIDTH, STEP = 2, 1
-DICT_BYTES = 8 << 10
 THRESHOLD = 0.7
-HEAD, TAIL = b"<0123456789abcdef>", b"0123456789"
-
-
-def windows(text, width: int = WIDTH) -> list[bytes]:
-    w = [x.strip(b".,;:!?|#$%&*\"'()[]") for x in (text or "").encode("utf-8", "surrogatepass").lower().split()]
-    w = [x for x in w if x]
-    return [b" ".join(w[i : i + width]) for i in range(0, max(1, len(w) - width + 1), STEP)] if w else []
+GRAM, LEAST_LLR, LEAST_LIFT = 6, 30.0, 10.0
+PLAIN_BYTES, SEGMENT = 8 << 10, 16
+STEPS, MEMO = (2, 3, 4, 5), 400_000
+# A frame's last bytes are never matched and its first match pays the block's overhead: both dictionaries know both ends.
+HEAD, TAIL = b"<0123456789abcdef> ", b" 0123456789"
+STRIP = b".,;:!?|#$%&*\"'()[]<>"
+
+
+def words(text) -> list[bytes]:
+    return [x for x in (w.strip(STRIP) for w in (text or "").encode("utf-8", "surrogatepass").lower().split()) if x]
+
+
+def _contexts(texts: list[list[bytes]]) -> Counter:
+    """word -> number of distinct (word before, word after)."""
+    ids, rows = {b"": 0}, []
+    for w in texts:
+        i = np.fromiter((ids.setdefault(x, len(ids)) for x in w), np.int64, len(w))
+        if len(i):
+            rows.append(np.stack([np.concatenate([[0], i[:-1]]), i, np.concatenate([i[1:], [0]])], axis=1))
+    if not rows:
+        return Counter()
+    count = np.bincount(np.unique(np.concatenate(rows), axis=0)[:, 1], minlength=len(ids))
+    return Counter({w: int(count[i]) for w, i in ids.items() if count[i]})
+
+
+def _grams(word: bytes) -> list[bytes]:
+    w = b" " + word + b" "
+    return [w[i : i + GRAM] for i in range(max(1, len(w) - GRAM + 1))]
+
+
+def stretches(toxic: list[list[bytes]], plain: list[list[bytes]]) -> Counter:
+    """Stretches of toxic words made of n-grams that mark toxic texts, with their numbers of contexts."""
+    seen = [_contexts(plain), _contexts(toxic)]
+    grams = [Counter(), Counter()]
+    for c in (0, 1):
+        for w, n in seen[c].items():
+            for g in _grams(w):
+                grams[c][g] += n
+    n0, n1 = (max(1, s.total()) for s in seen)
+
+    def marks(g, k):
+        m = grams[0][g]
+        if k / n1 <= LEAST_LIFT * (m + 1) / n0:
+            return False
+        return 2 * (k * math.log(k * (n0 + n1) / ((k + m) * n1)) + (m * math.log(m * (n0 + n1) / ((k + m) * n0)) if m else 0)) >= LEAST_LLR
+
+    telling, out = {g for g, k in grams[1].items() if marks(g, k)}, Counter()
+    for w, n in seen[1].items():
+        at = [i for i, g in enumerate(_grams(w)) if g in telling]
+        w, i = b" " + w + b" ", 0
+        while i < len(at):
+            j = i
+            while j + 1 < len(at) and at[j + 1] - at[j] <= GRAM:
+                j += 1
+            out[w[at[i] : at[j] + GRAM]] += n
+            i = j + 1
+    return out
+
+
+def _dictionary(samples: list[bytes], size: int) -> bytes:
+    """A trained dictionary; the samples themselves where they are too few to train on."""
+    try:
+        return zstd.train_dictionary(size, samples, k=SEGMENT, d=6, level=3).as_bytes()
+    except zstd.ZstdError:
+        return b"".join(sorted(set(samples)))[-size:]
 
 
 def train_dicts(toxic: list[str], plain: list[str]) -> tuple[bytes, bytes]:
-    """Dictionary contents. Of toxic texts, windows count whose words mark toxic rather than ordinary texts."""
-    # A word counts once per left neighbour, so that copies of one text do not look like many witnesses.
-    seen = [Counter(), Counter()]
-    for c, texts in enumerate((plain, toxic)):
-        pairs = {p for t in texts for w in [windows(t, 1)] for p in zip([b"", *w], w)}
-        seen[c].update(w for _, w in pairs)
-    most = max(3, len(toxic) // 100)
-    marks = {x for x, k in seen[1].items() if k >= most and k / len(toxic) > 12 * (seen[0][x] + 1) / (len(plain) + 1)}
-    floor = max((seen[1][x] for x in marks), default=0) / 5
-    telling = sorted((x for x in marks if seen[1][x] >= floor), key=lambda x: (seen[1][x], x)) or [s for t in toxic for s in windows(t)]
-    common = [x for x, _ in sorted(seen[0].items(), key=lambda p: (p[1], p[0]))]
-
-    def content(samples):
-        """Raw content, the most telling last: the nearest matches are the cheapest."""
-        return HEAD + (b" " + b" ".join(samples) + b" ")[-DICT_BYTES:].rjust(64, b" ")
-
-    return content(telling), content(common)
+    """(toxic, ordinary) dictionary of the labelled texts."""
+    toxic, plain = [words(t) for t in toxic], [words(t) for t in plain]
+    found = stretches(toxic, plain) or Counter(b" " + w + b" " for t in toxic for w in t)
+    rows = [s for s, n in sorted(found.items()) for _ in range(min(n, 256))]
+    rows = [rows[i] for i in np.random.default_rng(0).permutation(len(rows))]
+    lines = [b" ".join([b"", *t[i : i + 8], b""]) for t in plain for i in range(0, len(t), 8)]
+    size = min(32 << 10, 512 + 4 * sum(map(len, found)))
+    return _dictionary([b"".join(rows[i : i + 8]) for i in range(0, len(rows), 8)], size), _dictionary(lines, PLAIN_BYTES)
 
 
 class Distance:
     """Evidence of windows: bytes saved by the toxic dictionary against the ordinary one."""
 
     def __init__(self, toxic: bytes, plain: bytes):
-        # Short windows need short matches, and the last eight bytes of an input are never matched: a fixed tail covers them.
-        # A fixed head that both dictionaries hold pays for the first match of a frame, so that one short word shows.
-        how = zstd.ZstdCompressionParameters.from_level(19, min_match=3, window_log=14, write_content_size=0, write_dict_id=0)
-        make = lambda d: zstd.ZstdCompressor(compression_params=how, dict_data=zstd.ZstdCompressionDict(d, dict_type=zstd.DICT_TYPE_RAWCONTENT))
+        # Raw content: literals then cost a byte each, and a match shows in whole bytes.
+        how = zstd.ZstdCompressionParameters.from_level(16, min_match=3, window_log=16, hash_log=12, chain_log=12, search_log=4, write_content_size=0, write_dict_id=0)
+        make = lambda d: zstd.ZstdCompressor(compression_params=how, dict_data=zstd.ZstdCompressionDict(d + HEAD + TAIL, dict_type=zstd.DICT_TYPE_RAWCONTENT))
         self.toxic, self.plain = make(toxic), make(plain)
         self.memo = {}
 
-    def evidence(self, window: bytes) -> int:
-        got = self.memo.get(window)
-        if got is None:
-            if len(self.memo) > 200_000:
-                self.memo.clear()
-            got = self.memo[window] = len(self.plain.compress(b"%b %b %b" % (HEAD, window, TAIL))) - len(self.toxic.compress(b"%b %b %b" % (HEAD, window, TAIL)))
-        return got
-
-    def features(self, text) -> list[float]:
-        found = [self.evidence(s) for s in windows(text)]
-        top = sorted(found, reverse=True)[:2] + [0, 0]
-        strong = sum(x >= 3 for x in found)
-        return [1.0, top[0] / 4, top[1] / 4, min(strong, 12) / 4, 100 * strong / (len(found) + 50) / 4]
+    @staticmethod
+    def lengths(compressor, windows: list[bytes]) -> np.ndarray:
+        size = np.fromiter(map(len, windows), np.uint64, len(windows))
+        at = np.stack([np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.uint64), size], axis=1)
+        out = compressor.multi_compress_to_buffer(zstd.BufferWithSegments(b"".join(windows), np.ascontiguousarray(at).tobytes()))
+        return np.fromiter((len(out[i]) for i in range(len(windows))), np.int64, len(windows))
+
+    def learn(self, unseen: set[bytes]) -> None:
+        if len(self.memo) + len(unseen) > MEMO:
+            self.memo.clear()
+        new = list(unseen)
+        for i in range(0, len(new), 8192):
+            part = new[i : i + 8192]
+            framed = [HEAD + b" " + w + b" " + TAIL for w in part]
+            self.memo.update(zip(part, (self.lengths(self.plain, framed) - self.lengths(self.toxic, framed)).tolist()))
+
+    def features(self, texts) -> np.ndarray:
+        """One row a text: for each threshold how many windows pass it, and their share; the best window; the mean."""
+        out = np.zeros((len(texts), 3 + 2 * len(STEPS)))
+        for i, t in enumerate(texts):
+            w = words(t)
+            if unseen := {x for x in w if x not in self.memo}:
+                self.learn(unseen)
+                if any(x not in self.memo for x in w):  # the memo was cleared
+                    self.learn(set(w))
+            e = np.fromiter((self.memo[x] for x in w), np.int64, len(w))
+            out[i, :3] = 1, min(8, e.max(initial=0)) / 4, e.sum() / (len(w) + 30)
+            for k, step in enumerate(STEPS):
+                n = (e >= step).sum()
+                out[i, 3 + 2 * k : 5 + 2 * k] = np.log1p(n), 20 * n / (len(w) + 30)
+        return out
 
 
 def calibrate(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> np.ndarray:
     """Logistic weights by Newton steps with a small ridge."""
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        p = _curve(x @ w)
         h = (x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(len(w))
         w += np.linalg.solve(h, x.T @ (y - p) - 0.05 * w)
     return w
 
 
+def _curve(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
 def train(labelled: DataFrame, text: str = "text", label: str = "toxic", doc_id: str = "doc_id", most: int = MAX_TRAIN):
     """(toxic dictionary, ordinary dictionary, calibration), or None without both classes. Null labels are left out."""
     rows = [[t or "" for t in sample(labelled.where(F.col(label) == c), text, doc_id, most)] for c in (1, 0)]
     if not all(rows):
         return None
-    # Dictionaries come from one half, calibration from the other: a dictionary knows its own texts too well.
-    halves = [[r[::2], r[1::2] or r] for r in rows]
-    toxic, plain = train_dicts(halves[0][0], halves[1][0])
-    d = Distance(toxic, plain)
-    x = np.array([d.features(t) for c in (0, 1) for t in halves[c][1]])
-    y = np.array([1.0] * len(halves[0][1]) + [0.0] * len(halves[1][1]))
-    return toxic, plain, calibrate(x, y)
+    # A dictionary knows its own texts too well: each half is measured with dictionaries of the other half.
+    x, y = [], []
+    for own in (0, 1):
+        halves = [[r[own::2] or r, r[1 - own :: 2] or r] for r in rows]
+        d = Distance(*train_dicts(halves[0][0], halves[1][0]))
+        for c in (0, 1):
+            x.append(d.features(halves[1 - c][1]))
+            y.append(np.full(len(x[-1]), float(c)))
+    return *train_dicts(*rows), calibrate(np.concatenate(x), np.concatenate(y))
 
 
 def score(docs: DataFrame, model, text: str = "text") -> DataFrame:
     """``docs`` with ``score`` (0 to 1, higher: toxic likelier) of each whole text."""
     small_batches(docs.sparkSession)
-    if model is None:
-        return docs.withColumn("score", F.lit(0.0))
 
     @F.pandas_udf("double")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         d = Distance(*model[:2])
         for s in parts:
-            x = np.array([d.features(t) for t in s]).reshape(len(s), -1)
-            yield pd.Series(1 / (1 + np.exp(-np.clip(x @ model[2], -30, 30))) if len(s) else [], dtype="float64")
+            yield pd.Series(_curve(d.features(s.tolist()) @ model[2]), dtype="float64")
 
-    return docs.withColumn("score", run(F.col(text)))
+    found = F.lit(0.0) if model is None else run(F.col(quoted(text)))
+    return docs.select(boxed(docs), found.alias("_score")).select(*unboxed(docs.columns, ("score", F.col("_score"))))
