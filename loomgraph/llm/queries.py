@@ -48,7 +48,7 @@ def _fold(n: int):
 def op7_toxicity(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     labels = table(spark, d, "labels").select("doc_id", "toxic").where(_fold(3) != 1)
-    model = toxicity.train(docs.where(_fold(3) != 1).join(labels, "doc_id"))
+    model = toxicity.train(docs.where(_fold(3) != 1), labels)
     out = toxicity.score(docs, model)
     held = F.coalesce(_fold(3) == 1, F.lit(False)).alias("held_out")
     return out.select("doc_id", held, "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))

@@ -10,7 +10,7 @@ byte n-grams stand there significantly more often than in ordinary texts (log-li
 that copies of a text are one witness); the ordinary dictionary is trained on whole ordinary texts. Calibration measures
 each half of the training rows with dictionaries of the other half.
 
-Training uses at most ``MAX_TRAIN`` labelled rows per class, those of smallest hash. Null and empty texts have no windows
+Training uses at most ``MAX_TRAIN`` labelled ids of a class, those of smallest hash. Null and empty texts have no windows
 and get the calibrated score of no evidence; very long texts and words are read whole. Without rows of both classes every
 score is 0. Rows repeat as given and equal texts get equal scores. An own column named ``score`` is replaced.
 """
@@ -25,9 +25,10 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import boxed, quoted, sample, small_batches, unboxed
+from .common import boxed, quoted, small_batches, unboxed
 
-MAX_TRAIN = 4000
+#: Training ids a class, toxic (1) and ordinary (0).
+MAX_TRAIN = {1: 2500, 0: 4000}
 THRESHOLD = 0.7
 GRAM, LEAST_LLR, LEAST_LIFT = 6, 30.0, 10.0
 PLAIN_BYTES, SEGMENT = 8 << 10, 16
@@ -150,13 +151,13 @@ class Distance:
         return out
 
 
-def calibrate(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> np.ndarray:
-    """Logistic weights by Newton steps with a small ridge."""
+def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 60) -> np.ndarray:
+    """Logistic coefficients of weighted rows, by Newton steps with a small ridge."""
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = _curve(x @ w)
-        h = (x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(len(w))
-        w += np.linalg.solve(h, x.T @ (y - p) - 0.05 * w)
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(len(w))
+        w += np.linalg.solve(h, x.T @ (weight * (y - p)) - 0.05 * w)
     return w
 
 
@@ -164,9 +165,21 @@ def _curve(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train(labelled: DataFrame, text: str = "text", label: str = "toxic", doc_id: str = "doc_id", most: int = MAX_TRAIN):
-    """(toxic dictionary, ordinary dictionary, calibration), or None without both classes. Null labels are left out."""
-    rows = [[t or "" for t in sample(labelled.where(F.col(label) == c), text, doc_id, most)] for c in (1, 0)]
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", doc_id: str = "doc_id", most=MAX_TRAIN):
+    """(toxic dictionary, ordinary dictionary, calibration), or None without both classes.
+
+    Rows without a label or an id are left out; of several texts of one id the smallest counts. Ids are chosen first, so
+    that only chosen texts move: at most ``most[class]`` ids are broadcast.
+    """
+    known = labels.where(F.col(label).isin(0, 1)).select(F.col(doc_id).alias("_id"), F.col(label).alias("_c")).distinct()
+    known = known.join(docs.select(F.col(quoted(doc_id)).alias("_id")).distinct(), "_id")
+    total = {r["_c"]: r["count"] for r in known.groupBy("_c").count().collect()}
+    ids = known.where("false")
+    for c in (1, 0):
+        ids = ids.unionByName(known.where(F.col("_c") == c).orderBy(F.xxhash64("_id"), "_id").limit(most[c]))
+    texts = docs.select(F.col(quoted(doc_id)).alias("_id"), F.col(quoted(text)).alias("_text")).join(F.broadcast(ids), "_id")
+    chosen = texts.groupBy("_c", "_id").agg(F.min("_text").alias("_text")).orderBy("_c", F.xxhash64("_id"), "_id").collect()
+    rows = [[r["_text"] or "" for r in chosen if r["_c"] == c] for c in (1, 0)]
     if not all(rows):
         return None
     # A dictionary knows its own texts too well: each half is measured with dictionaries of the other half.
@@ -177,7 +190,10 @@ def train(labelled: DataFrame, text: str = "text", label: str = "toxic", doc_id:
         for c in (0, 1):
             x.append(d.features(halves[1 - c][1]))
             y.append(np.full(len(x[-1]), float(c)))
-    return *train_dicts(*rows), calibrate(np.concatenate(x), np.concatenate(y))
+    y = np.concatenate(y)
+    # The sample holds as many of both classes as it can; the curve is for the shares they have among all labelled rows.
+    weight = np.where(y == 1, total[1] / len(rows[0]), total[0] / len(rows[1]))
+    return *train_dicts(*rows), calibrate(np.concatenate(x), y, weight / weight.mean())
 
 
 def score(docs: DataFrame, model, text: str = "text") -> DataFrame:
