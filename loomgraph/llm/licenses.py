@@ -10,6 +10,8 @@ Null and empty texts give no sentences and no licence; repeated sentences count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import boxed, quoted, unboxed
+
 # Identifier -> normalised sentence.
 SENTENCES = {
     "mit.name": "released under the mit license",
@@ -54,6 +56,7 @@ RULES = [
     ("LGPL", "copyleft", ["lgpl.free", "lgpl.redistribute"]),
     ("LGPL", "copyleft", ["gpl.free", "lgpl.redistribute"]),
     ("AGPL", "copyleft", ["gpl.free", "agpl.redistribute"]),
+    ("BSD", "permissive", ["reserved", "bsd.keep", "bsd.binary"]),
     ("BSD", "permissive", ["bsd.keep", "bsd.binary"]),
     ("MIT", "permissive", ["mit.grant"]),
     ("ISC", "permissive", ["isc.grant"]),
@@ -78,19 +81,25 @@ def scan(docs: DataFrame, text: str = "text", sentences=None, rules=None) -> Dat
     sentences, rules = sentences or SENTENCES, rules or RULES
     pairs = [*sentences.items(), *((k, v) for k, more in (VARIANTS if sentences is SENTENCES else {}).items() for v in more)]
     known = F.create_map(*[F.lit(x) for k, v in pairs for x in (v, k)])
-    whole = F.coalesce(F.col(text), F.lit(""))
+    whole = F.coalesce(F.col(quoted(text)), F.lit(""))
 
     def split(value, pattern):
         clean = F.transform(F.split(value, pattern), lambda s: F.trim(F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}]+", " ")))
         return F.filter(clean, lambda s: s != "")
 
     named = lambda parts: F.filter(F.transform(parts, lambda s: F.try_element_at(known, s)), lambda x: x.isNotNull())
-    out = docs.withColumn("_parts", split(whole, SPLIT))
-    out = out.withColumn("_lines", named(F.col("_parts"))).withColumn("_joined", named(split(F.regexp_replace(whole, COPYRIGHT, "\n\n"), WRAPPED)))
+    out = docs.select(boxed(docs), split(whole, SPLIT).alias("_parts"), named(split(F.regexp_replace(whole, COPYRIGHT, "\n\n"), WRAPPED)).alias("_joined"))
+    out = out.withColumn("_lines", named(F.col("_parts")))
     # A text is read by lines and with lines joined; the reading that knows more sentences gives their identifiers.
-    out = out.withColumn("sentence_ids", F.when(F.size("_joined") > F.size("_lines"), F.col("_joined")).otherwise(F.col("_lines")))
+    ids = F.when(F.size("_joined") > F.size("_lines"), F.col("_joined")).otherwise(F.col("_lines"))
     chain = F.concat(*[F.concat(F.lit(" "), F.array_join(c, "  "), F.lit(" |")) for c in ("_lines", "_joined")])
-    hits = [F.when(F.col("_chain").contains(" " + "  ".join(seq) + " "), F.lit(name)) for name, _, seq in rules]
-    out = out.withColumn("_chain", chain)
-    found = F.array_sort(F.array_distinct(F.array_compact(F.array(*hits))))
-    return out.withColumn("n_sentences", F.size("_parts").cast("long")).withColumn("licenses", found).drop("_parts", "_lines", "_joined", "_chain")
+    table = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(" " + "  ".join(seq) + " ").alias("seq")) for name, _, seq in rules])
+    begin = F.struct(chain.alias("left"), F.array().cast("array<string>").alias("hits"))
+
+    def match(state, rule):
+        hit = F.when(F.contains(state["left"], rule["seq"]), F.array(rule["name"])).otherwise(F.array().cast("array<string>"))
+        return F.struct(F.replace(state["left"], rule["seq"], F.lit(" | ")).alias("left"), F.concat(state["hits"], hit).alias("hits"))
+
+    found = F.when(F.size("_lines") + F.size("_joined") > 0, F.array_sort(F.array_distinct(F.aggregate(table, begin, match, lambda state: state["hits"]))))
+    found = F.coalesce(found, F.array().cast("array<string>"))
+    return out.select(*unboxed(docs.columns, ("n_sentences", F.size("_parts").cast("long")), ("sentence_ids", ids), ("licenses", found)))
