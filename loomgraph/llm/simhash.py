@@ -5,9 +5,10 @@ fingerprints are linked when at most ``radius`` bits differ. At most 3 differing
 equal, so each fingerprint goes to 4 (block, value) cells; a cell with more than ``cell`` fingerprints is dealt again by 4
 parts of its remaining bits, as often as needed. In a cell, a binary trie over the bits is joined with itself: node pairs
 go down together, differing bits add up, and a pair over the budget is pruned. Each cell gives a spanning forest of its
-links, not the pairs; components follow by distributed label propagation.
+links, not the pairs; components follow by alternating large-star and small-star steps.
 
-Null, empty and blank texts have fingerprint zero and link like any other. An empty table gives an empty result.
+Null, empty and blank texts have fingerprint zero and link like any other; very long texts are read whole; equal texts are
+one fingerprint from the start; null ids sort last. An empty table gives an empty result.
 """
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, small_batches
+from .common import boxed, cut, discard, quoted, small_batches, unboxed
 
 HEX = "fingerprint"
 
@@ -138,33 +139,50 @@ def links(fps: DataFrame, radius: int = 3, cell: int = 20_000) -> DataFrame:
         level = _cells(level.join(heavy, "_key", "left_semi"), F.col("_key"), used, 4, width)
 
 
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """(_fp, _label): the smallest _key of each component. ``nodes``: _fp, _key; labels travel until none changes."""
-    edges = cut(edges)
+def _mark(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("_fp", "_root").cast("decimal(38,0)"))).first())
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(_fp, _label): the smallest _key of each component. ``nodes``: _fp, _key; ``edges``: _fp, _root.
+
+    Large-star and small-star steps alternate until the edges are stars: every node hangs its neighbours on the smallest node
+    it knows, which shortens long chains by half a step, so rounds grow with the logarithm of the chain. Each round is a
+    combined aggregation and joins, never a collected neighbourhood.
+    """
+    lower = lambda e: e.select(F.greatest("_fp", "_root").alias("_fp"), F.least("_fp", "_root").alias("_root")).where("_fp <> _root").distinct()
+    edges = cut(lower(edges))
     if edges.isEmpty():
         return nodes.select("_fp", F.col("_key").alias("_label"))
-    both = cut(edges.unionByName(edges.select(F.col("_root").alias("_fp"), F.col("_fp").alias("_root"))).distinct())
-    linked = cut(nodes.join(both.select("_fp").distinct(), "_fp", "left_semi").select("_fp", F.col("_key").alias("_label")))
-    for _ in range(rounds):
-        heard = both.join(linked, "_fp").groupBy(F.col("_root").alias("_fp")).agg(F.min("_label").alias("_new"))
-        step = cut(linked.join(heard, "_fp").select("_fp", F.least("_label", "_new").alias("_label"), (F.col("_new") < F.col("_label")).alias("_moved")))
-        linked = step.select("_fp", "_label")
-        if step.where("_moved").isEmpty():
+    mark = _mark(edges)
+    while True:
+        both = edges.unionByName(edges.select(F.col("_root").alias("_fp"), F.col("_fp").alias("_root")))
+        least = both.groupBy("_fp").agg(F.min("_root").alias("_m")).select("_fp", F.least("_fp", "_m").alias("_m"))
+        # Large star: greater neighbours go to the smallest of the neighbourhood.
+        up = both.where("_root > _fp").join(least, "_fp").select(F.col("_root").alias("_fp"), F.col("_m").alias("_root"))
+        large = cut(lower(up))
+        # Small star: lesser neighbours and the node itself go to the smallest of them.
+        first = large.groupBy("_fp").agg(F.min("_root").alias("_m"))
+        down = large.join(first, "_fp").select(F.col("_root").alias("_fp"), F.col("_m").alias("_root"))
+        after = cut(lower(down.unionByName(first.select("_fp", F.col("_m").alias("_root")))))
+        discard(edges, large)
+        edges, before, mark = after, mark, _mark(after)
+        if mark == before:
             break
-    else:
-        raise RuntimeError("labels still move: raise `rounds`")
-    return nodes.join(linked, "_fp", "left").select("_fp", F.coalesce("_label", "_key").alias("_label"))
+    # Stars now: each node hangs on the smallest node of its component.
+    hung = nodes.join(edges, "_fp", "left").select("_fp", "_key", F.coalesce("_root", "_fp").alias("_root"))
+    labels = hung.groupBy("_root").agg(F.min("_key").alias("_label"))
+    return hung.join(labels, "_root").select("_fp", "_label")
 
 
-def classes(docs: DataFrame, radius: int = 3, text: str = "text", doc_id: str = "doc_id", keep=None) -> DataFrame:
-    """Rows of ``docs`` (columns ``keep``, default all) with _fp (long) and _label, the smallest row key of the component.
+def _classes(docs: DataFrame, radius: int, text: str, doc_id: str, keep) -> DataFrame:
+    """_row, _fp, _key and _label: the caller's columns, the fingerprint, the row's key and the smallest key of its component.
 
     A row key is struct(id is null, id, row number), so null and repeated ids have a defined order.
     """
     small_batches(docs.sparkSession)
-    keep = docs.columns if keep is None else keep
-    marked = docs.select(*keep, _fingerprints(F.col(text)).alias("_fp"), F.monotonically_increasing_id().alias("_rid"))
-    marked = cut(marked).withColumn("_key", F.struct(F.col(doc_id).isNull().alias("a"), F.col(doc_id).alias("b"), F.col("_rid").alias("c")))
+    marked = docs.select(boxed(docs, keep), F.col(quoted(doc_id)).alias("_id"), _fingerprints(F.col(quoted(text))).alias("_fp"), F.monotonically_increasing_id().alias("_rid"))
+    marked = cut(marked).select("_row", "_fp", F.struct(F.col("_id").isNull().alias("a"), F.col("_id").alias("b"), F.col("_rid").alias("c")).alias("_key"))
     nodes = cut(marked.groupBy("_fp").agg(F.min("_key").alias("_key"), F.count(F.lit(1)).alias("_n")))
     total = nodes.agg(F.sum("_n")).first()[0] or 0
     labels = cut(components(nodes.select("_fp", "_key"), links(nodes.select("_fp"), radius)))
@@ -174,7 +192,16 @@ def classes(docs: DataFrame, radius: int = 3, text: str = "text", doc_id: str =
     return marked.where(cold).join(labels.where(cold), "_fp").unionByName(marked.where(warm).join(F.broadcast(labels.where(warm)), "_fp"))
 
 
-def dedup(docs: DataFrame, radius: int = 3) -> DataFrame:
+def classes(docs: DataFrame, radius: int = 3, text: str = "text", doc_id: str = "doc_id", keep=None) -> DataFrame:
+    """Rows of ``docs`` (columns ``keep``, default all) with ``fingerprint`` (16 hex digits) and ``component_id``.
+
+    ``component_id`` is the smallest doc_id of the component, null where all its ids are. Own columns of these names are replaced.
+    """
+    keep = docs.columns if keep is None else keep
+    digits = F.lower(F.lpad(F.hex("_fp"), 16, "0"))
+    return _classes(docs, radius, text, doc_id, keep).select(*unboxed(keep, (HEX, digits), ("component_id", F.col("_label.b"))))
+
+
+def dedup(docs: DataFrame, radius: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row of each component, that with the smallest doc_id; columns as given."""
-    found = classes(docs, radius)
-    return found.where(F.col("_key") == F.col("_label")).select(*docs.columns)
+    return _classes(docs, radius, text, doc_id, docs.columns).where(F.col("_key") == F.col("_label")).select(*unboxed(docs.columns))
