@@ -2,11 +2,14 @@
 
 Each source's words, in a seeded order of its documents and dealt over shards, form equal blocks. All blocks of the mix go
 to (source, shard) cells by highest quotients target / (2k + 1), which gives integer quotas; a cell's quota takes every
-block equally often and the rest by a seeded permutation of its blocks.
+block equally often and the rest by a seeded affine permutation of its blocks.
 
 Null or empty texts have size 0 and are never taken. Null sources are one source, sorted last. Rows with equal ids and
-sizes are interchangeable. An empty table gives an empty result. The driver holds one row per source and shard (at most
-``MAX_SHARDS`` shards a source), never documents.
+sizes are interchangeable; null ids are spread over the shards. Very long texts are counted whole and may span many blocks.
+An empty table gives an empty result. Own columns named ``size``, ``source_size``, ``target`` or ``taken`` are replaced.
+
+The driver holds one row per source and shard, never documents: a shard has ``SHARD_WORDS`` words, or a 65 536th of all
+words where that is more, so there are at most 65 536 shards and one a source, at every size.
 """
 
 import heapq
@@ -16,12 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, n_words
+from .common import boxed, cut, discard, n_words, quoted, unboxed
 
 WEIGHTS = (1, 2, 3)
 MAX_REPEAT = 3
-MAX_SHARDS = 4096
-SHARD_WORDS = 50_000
+SHARD_WORDS, SHARDS = 50_000, 65_536
 
 
 def _div(a, b):
@@ -68,29 +70,33 @@ def sainte_lague(shares: list[float], seats: int) -> list[int]:
     return got
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, seed: int = 42, text: str = "text", source: str = "source", doc_id: str = "doc_id", keep=None) -> DataFrame:
-    """Rows of ``docs`` (columns ``keep``, default all) with size, source_size, target and taken."""
-    spark = docs.sparkSession
-    keep = docs.columns if keep is None else keep
-    sized = cut(docs.select(*keep, n_words(F.col(text)).alias("size"), F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("null")).alias("_src")))
+def _seeded(*parts: int) -> int:
+    x = 0x9E3779B97F4A7C15
+    for p in parts:
+        x = (x ^ (p & (1 << 64) - 1)) * 0xBF58476D1CE4E5B9 % (1 << 64)
+        x ^= x >> 29
+    return x
+
+
+def _taken(slim: DataFrame, weights, seed: int) -> tuple[DataFrame, DataFrame]:
+    """``slim`` (_src, _size, _id, _rid and more, written) with _source_size, _target, _taken and _before, and a frame to discard.
+
+    ``_before`` is the sum of the taken shares of the rows before this one in its cell, in millionths.
+    """
+    spark = slim.sparkSession
     # Null sorts last; UTF-8 byte order is code point order.
-    by_source = sorted(((r["_src"] == "null", r["_src"].encode(), r["_src"], r["n"] or 0) for r in sized.groupBy("_src").agg(F.sum("size").alias("n")).collect()))
+    by_source = sorted(((r["_src"] == "null", r["_src"].encode(), r["_src"], r["n"] or 0) for r in slim.groupBy("_src").agg(F.sum("_size").alias("n")).collect()))
     sizes = [r[3] for r in by_source]
-    goals = targets(sizes, weights)
-    total = sum(sizes)
+    goals, total = targets(sizes, weights), sum(sizes)
     block = max(1, min(32, 1 + total // 100_000))
-    shards = [max(1, min(MAX_SHARDS, n // SHARD_WORDS)) for n in sizes]
-    info = spark.createDataFrame(
-        [(r[2], n, float(g), k) for r, n, g, k in zip(by_source, sizes, goals, shards)], "_src string, source_size long, target double, _shards int"
-    )
-    order = F.xxhash64(F.lit(seed), F.col(doc_id), F.col("size"))
-    # One row per source: as long as the sources fit the driver they fit a broadcast.
-    dealt = sized.join(F.broadcast(info), "_src").withColumn("_order", order)
-    spread = F.xxhash64(F.lit(seed + 1), F.col(doc_id))
-    dealt = dealt.withColumn("_shard", F.pmod(F.when(F.col(doc_id).isNull(), F.xxhash64("size", F.monotonically_increasing_id())).otherwise(spread), F.col("_shards")).cast("int"))
-    dealt = cut(dealt.drop("_shards"))
-    cells = sorted(((r["_src"], r["_shard"], r["n"]) for r in dealt.groupBy("_src", "_shard").agg(F.sum("size").alias("n")).where("n > 0").collect()))
-    per = {r[2]: (n, g) for r, n, g in zip(by_source, sizes, goals)}
+    per_shard = max(SHARD_WORDS, -(-total // SHARDS))
+    info = [(r[2], n, float(g), max(1, n // per_shard)) for r, n, g in zip(by_source, sizes, goals)]
+    info = spark.createDataFrame(info, "_src string, _source_size long, _target double, _shards long")
+    join = lambda a, b, on, n: a.join(F.broadcast(b) if n <= 100_000 else b, on, "left")
+    spread = F.when(F.col("_id").isNull(), F.xxhash64(F.lit(seed + 1), "_size", "_rid")).otherwise(F.xxhash64(F.lit(seed + 1), "_id"))
+    dealt = cut(join(slim, info, "_src", len(sizes)).withColumn("_shard", F.pmod(spread, F.col("_shards"))).drop("_shards"))
+    cells = sorted(((r["_src"], r["_shard"], r["n"]) for r in dealt.groupBy("_src", "_shard").agg(F.sum("_size").alias("n")).where("n > 0").collect()))
+    per = {r[2]: (n, g, i) for i, (r, n, g) in enumerate(zip(by_source, sizes, goals))}
     want = [per[s][1] * n / per[s][0] for s, _, n in cells]
     quotas = sainte_lague(want, round(sum(want) / block))
     plan = []
@@ -98,25 +104,56 @@ def mix(docs: DataFrame, weights=WEIGHTS, seed: int = 42, text: str = "text", so
         blocks = max(1, round(n / block))
         # Quotas count nominal blocks; a cell's own blocks differ from them by less than a word each.
         q = min(MAX_REPEAT * blocks, round(q * block * blocks / n))
-        step = next(a for a in range(max(1, int(blocks * 0.618)), 2 * blocks + 2) if math.gcd(a, blocks) == 1)
-        plan.append((s, k, int(n), blocks, int(q // blocks), int(q % blocks), step, (seed * 7919 + k * 104729) % blocks))
-    plan = spark.createDataFrame(plan, "_src string, _shard int, _n long, _blocks long, _every long, _more long, _step long, _at long")
-    w = Window.partitionBy("_src", "_shard").orderBy("_order", doc_id, "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = dealt.withColumn("_end", F.sum("size").over(w)).join(plan, ["_src", "_shard"], "left")
+        step = 1 + _seeded(seed, per[s][2], k) % blocks
+        while math.gcd(step, blocks) != 1:
+            step += 1
+        plan.append((s, k, int(n), blocks, int(q // blocks), int(q % blocks), step, _seeded(seed + 1, per[s][2], k) % blocks))
+    plan = spark.createDataFrame(plan, "_src string, _shard long, _n long, _blocks long, _every long, _more long, _step long, _at long")
+    w = Window.partitionBy("_src", "_shard").orderBy(F.xxhash64(F.lit(seed), "_id", "_size"), "_id", "_size", "_rid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = join(dealt, plan, ["_src", "_shard"], len(cells)).withColumn("_end", F.sum("_size").over(w))
     edge = lambda j: _div(j * F.col("_n"), F.col("_blocks"))
-    start = F.col("_end") - F.col("size")
+    start = F.col("_end") - F.col("_size")
     first = _div(start * F.col("_blocks"), F.col("_n"))
     last = F.least(_div((F.col("_end") - 1) * F.col("_blocks"), F.col("_n")) + 1, F.col("_blocks") - 1)
     overlap = lambda j: F.greatest(F.lit(0).cast("long"), F.least(F.col("_end"), edge(j + 1)) - F.greatest(start, edge(j)))
     chosen = lambda j: F.pmod(j * F.col("_step") + F.col("_at"), F.col("_blocks")) < F.col("_more")
     extra = F.aggregate(F.sequence(first, last), F.lit(0).cast("long"), lambda s, j: s + F.when(chosen(j), overlap(j)).otherwise(F.lit(0).cast("long")))
-    taken = F.when((F.col("size") == 0) | F.col("_n").isNull(), F.lit(0).cast("long")).otherwise(F.col("_every") * F.col("size") + extra)
-    return placed.select(*keep, "size", "source_size", "target", taken.alias("taken"))
+    taken = F.when((F.col("_size") == 0) | F.col("_n").isNull(), F.lit(0).cast("long")).otherwise(F.col("_every") * F.col("_size") + extra)
+    placed = placed.withColumn("_taken", taken)
+    share = _div(F.col("_taken") * 1_000_000, F.greatest("_size", F.lit(1)))
+    return placed.withColumn("_before", F.sum(share).over(w) - share).withColumn("_share", share), dealt
 
 
-def resample(docs: DataFrame, seed: int = 42) -> DataFrame:
-    """The mix as documents: a row stays taken / size times, the broken part by a seeded draw; columns as given."""
-    mixed = mix(docs, seed=seed)
-    draw = F.pmod(F.xxhash64(F.lit(seed + 2), F.col("doc_id")), F.lit(1_000_003)) / 1_000_003
-    times = F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + draw).cast("int")
-    return mixed.withColumn("_times", times).where("_times > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+def _sized(docs: DataFrame, columns, text: str, source: str, doc_id: str) -> DataFrame:
+    src = F.coalesce(F.concat(F.lit("="), F.col(quoted(source)).cast("string")), F.lit("null"))
+    return cut(docs.select(boxed(docs, columns), n_words(F.col(quoted(text))).alias("_size"), src.alias("_src"), F.col(quoted(doc_id)).alias("_id"), F.monotonically_increasing_id().alias("_rid")))
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, seed: int = 42, text: str = "text", source: str = "source", doc_id: str = "doc_id", keep=None) -> DataFrame:
+    """Rows of ``docs`` (columns ``keep``, default all) with size, source_size, target and taken.
+
+    Ids, sizes and sources alone are dealt and sorted; texts, where kept, join once at the end.
+    """
+    keep = docs.columns if keep is None else keep
+    sized = _sized(docs, keep, text, source, doc_id)
+    slim = sized if text not in keep else sized.drop("_row")
+    out, _ = _taken(slim, weights, seed)
+    if text in keep:
+        out = out.join(sized.select("_rid", "_row"), "_rid")
+    return out.select(*unboxed(keep, ("size", F.col("_size")), ("source_size", F.col("_source_size")), ("target", F.col("_target")), ("taken", F.col("_taken"))))
+
+
+def resample(docs: DataFrame, weights=WEIGHTS, seed: int = 42, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
+    """The mix as documents, columns as given: a row stays taken / size times.
+
+    Broken parts are rounded by systematic sampling along the seeded order of each cell, so a cell's number of rows is
+    within one of the sum of its shares, whatever ids repeat.
+    """
+    sized = _sized(docs, docs.columns, text, source, doc_id)
+    placed, dealt = _taken(sized.drop("_row"), weights, seed)
+    draw = F.pmod(F.xxhash64(F.lit(seed + 2), "_src", "_shard"), F.lit(1_000_000))
+    upto = lambda x: _div(x + draw, F.lit(1_000_000))
+    times = cut(placed.select("_rid", (upto(F.col("_before") + F.col("_share")) - upto(F.col("_before"))).cast("int").alias("_times")).where("_times > 0"))
+    discard(dealt)
+    out = sized.select("_rid", "_row").join(times, "_rid")
+    return out.select("_row", F.explode(F.array_repeat(F.lit(0), F.col("_times"))).alias("_i")).select(*unboxed(docs.columns))
