@@ -5,7 +5,8 @@ machines vote between its languages. Features are hashed character n-grams (1 to
 whole text. Training uses at most ``MAX_TRAIN`` texts per language, those of smallest hash.
 
 Texts that are null or hold no letter are ``und`` with score 0. Without training rows every text is ``und``. Languages
-outside the family table are families of their own.
+outside the family table are families of their own. Very long texts are read whole; equal texts get equal languages, and ties
+of votes go to the greater margin. Own columns named ``lang_pred`` or ``score`` are replaced.
 """
 
 import re
@@ -17,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sample, small_batches
+from .common import boxed, quoted, sample, small_batches, unboxed
 
 MAX_TRAIN, BUCKETS, SEED = 600, 1 << 13, 7
 # Language families by language code.
@@ -35,7 +36,7 @@ _GAP = re.compile(r"[\W\d_]+")
 def features(text: str) -> np.ndarray | None:
     """Unit vector of square-rooted n-gram counts, or None without letters."""
     s = _GAP.sub(" ", f" {text.lower()} ")
-    if not s.strip():
+    if not any(map(str.isalpha, s)):
         return None
     c = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
     grams = [c * np.uint64(0x9E3779B1), (c[:-1] * np.uint64(0x85EBCA77) + c[1:]) * np.uint64(0xC2B2AE3D)]
@@ -115,4 +116,5 @@ def identify(docs: DataFrame, model, text: str = "text") -> DataFrame:
                 out.append(("und", 0.0) if v is None else classify(v, model))
             yield pd.DataFrame(out, columns=["lang_pred", "score"])
 
-    return docs.withColumn("_p", run(F.col(text))).select(*docs.columns, "_p.lang_pred", "_p.score")
+    done = docs.select(boxed(docs), run(F.col(quoted(text))).alias("_p"))
+    return done.select(*unboxed(docs.columns, ("lang_pred", F.col("_p.lang_pred")), ("score", F.col("_p.score"))))

@@ -7,7 +7,9 @@ without a shared table. Collision check: a surrogate that equals its original, t
 first name leaves its gender list is never given: the permutations are single keyed cycles without fixed points, and
 reserved values are walked over along the cycle, which keeps the map one-to-one.
 
-Null texts stay null; empty texts have no entities; repeated rows get equal replacements.
+Null texts stay null; empty texts have no entities; very long texts are read whole; of overlapping entities the leftmost
+counts, then the earlier pattern; repeated rows get equal replacements. An empty table gives an empty result. An own column
+named ``pii`` is replaced.
 """
 
 import hashlib
@@ -21,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import boxed, quoted, small_batches, unboxed
 
 # Capitals, and the titles that announce a name.
 CAPITAL = "[A-ZÀ-ÖØ-ÞŒŠŽΑ-ΩА-ЯЁ]"
@@ -187,5 +189,6 @@ def anonymize(docs: DataFrame, key: bytes = b"a key of the user's own", text: st
                 rows.append((new, [dict(zip(("kind", "begin", "end", "surrogate"), x)) for x in spans]))
             yield pd.DataFrame(rows, columns=["text", "pii"])
 
-    done = docs.withColumn("_p", run(F.col(text)))
-    return done.select(*[F.col("_p.text").alias(text) if c == text else F.col(c) for c in docs.columns], "_p.pii")
+    done = docs.select(boxed(docs), run(F.col(quoted(text))).alias("_p"))
+    done = done.select(F.col("_row").withField(quoted(text), F.col("_p.text")).alias("_row"), "_p")
+    return done.select(*unboxed(docs.columns, ("pii", F.col("_p.pii"))))

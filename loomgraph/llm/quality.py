@@ -5,7 +5,8 @@ power of the number of rules, whatever the input), expectation-maximisation over
 accuracies, and the posterior probability of quality decides. Everything runs in DataFrame expressions; only the bounded
 pattern counts reach the driver.
 
-Null or empty texts have no words, fail the base rules and are not kept. An empty table gives an empty result.
+Null or empty texts have no words, fail the base rules and are not kept; very long texts are read whole; equal texts get
+equal verdicts, however often a row repeats. An empty table gives an empty result.
 """
 
 import math
@@ -13,7 +14,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, let, words
+from .common import WORD, boxed, cut, let, quoted, unboxed, words
 
 #: rule -> (signal, good at or below (None: never votes good), bad above); between the two the rule abstains.
 RULES = {
@@ -110,8 +111,12 @@ def judge(voted: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def assess(docs: DataFrame, text: str = "text", keep=None) -> DataFrame:
-    """Measures, votes, posterior and verdict of every row. ``keep``: columns carried along (default: all but the text)."""
+    """Measures, votes, posterior and verdict of every row; own columns of their names are replaced.
+
+    ``keep``: columns carried along (default: all but the text).
+    """
     keep = [c for c in docs.columns if c != text] if keep is None else keep
-    slim = vote(measures(docs.select(*{*keep, text}), text))
-    new = [c for c in slim.columns if c not in (*keep, text)]
-    return judge(cut(slim.select(*keep, *new)))
+    slim = vote(measures(docs.select(boxed(docs, keep), F.col(quoted(text)).alias("_text")), "_text"))
+    new = [c for c in slim.columns if c not in ("_row", "_text")]
+    judged = judge(cut(slim.drop("_text")))
+    return judged.select(*unboxed(keep, *[(c, F.col(c)) for c in (*new, "posterior", "kept")]))

@@ -62,8 +62,7 @@ def op8_language_id(spark, d):
 
 
 def op9_simhash(spark, d):
-    out = simhash.classes(table(spark, d, "documents").select("doc_id", "text"), keep=["doc_id"])
-    return out.select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), F.col("_label.b").alias("component_id"))
+    return simhash.classes(table(spark, d, "documents").select("doc_id", "text"), keep=["doc_id"])
 
 
 def op10_line_spread(spark, d):

@@ -4,34 +4,58 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.llm import ann, langid, licenses, line_dedup, mixing, packing, pii, quality, simhash, toxicity
+from loomgraph.llm import ann, langid, licenses, line_dedup, mixing, near, packing, pii, quality, simhash, toxicity
 
 ROWS = [(1, "a b c\na b c\n", "s1"), (1, "a b c\na b c\n", "s1"), (2, None, None), (3, "", "s2"), (None, "mail x@y.example.com now", "s2"), (4, "w " * 30_000, "s1")]
+#: Names that operators use for themselves or return; a caller's columns of these names must do no harm.
+OWN = ["_row", "_rid", "_fp", "_key", "_label", "_id", "_text", "_size", "_src", "_shard", "_p", "_s", "_n", "_gone", "_parts", "_chain", "_times"]
+RETURNED = {
+    "quality": ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "posterior", "kept"],
+    "licenses": ["n_sentences", "sentence_ids", "licenses"], "pii": ["pii"], "mixing": ["size", "source_size", "target", "taken"],
+    "toxicity": ["score"], "langid": ["lang_pred", "score"], "simhash": ["fingerprint", "component_id"], "line_dedup": ["n_lines", "n_removed"], "near": [],
+}
+APPLY = {
+    "quality": quality.assess, "licenses": licenses.scan, "pii": lambda d: pii.anonymize(d, b"k"), "mixing": mixing.mix, "toxicity": lambda d: toxicity.score(d, MODEL),
+    "langid": lambda d: langid.identify(d, None), "simhash": simhash.classes, "line_dedup": lambda d: line_dedup.dedup(d, counts=True), "near": lambda d: d if near.dedup(d).count() in (0, 4) else None,
+}
+MODEL = (*toxicity.train_dicts(["you idiot", "idiot you"] * 9, ["good day to all", "a fine day"] * 9), np.array([-1.0] + [0.1] * 10))
 
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    return spark.createDataFrame([(i, t, None, s, 0, 9) for i, t, s in ROWS], "doc_id long, text string, lang string, source string, n_chars long, size int")
+    return spark.createDataFrame([(i, t, None, s, 0) for i, t, s in ROWS], "doc_id long, text string, lang string, source string, n_chars long")
 
 
-@pytest.mark.parametrize("empty", [False, True])
-def test_edge_rows(spark, docs, empty):
+@pytest.mark.parametrize("name", APPLY)
+def test_edge_rows(docs, name):
+    """Nulls, empty and long texts, repeated rows, empty tables and clashing names: rows stay, clashes resolve as documented."""
+    returned = RETURNED[name]
+    plain = APPLY[name](docs)
+    assert plain.count() == len(ROWS) and [c for c in plain.columns if c in docs.columns] == [c for c in docs.columns if c in plain.columns]
+    assert APPLY[name](docs.limit(0)).count() == 0
+    clashing = docs.select("*", *[F.lit("mine").alias(c) for c in [*OWN, *returned]])
+    got = APPLY[name](clashing)
+    assert len(set(got.columns)) == len(got.columns) and set(OWN + returned) <= set(got.columns)
+    assert got.select(OWN).distinct().collect() == [tuple(["mine"] * len(OWN))]
+    assert {str(r) for r in got.select(plain.columns).collect()} == {str(r) for r in plain.collect()}
+
+
+def test_rows_that_go(docs):
+    """Filtering forms keep the columns as given and one row of each group."""
+    clashing = docs.select("*", F.lit("mine").alias("_key"), F.lit(7).alias("taken"))
+    for out, n in ((simhash.dedup(clashing), 4), (near.dedup(clashing), 4), (mixing.resample(clashing), None)):
+        assert out.columns == clashing.columns and (n is None or out.count() == n)
+        assert {r[0] for r in out.select("_key").collect()} <= {"mine"}
+
+
+def test_packing_edge_rows(docs):
     from loomgraph.llm.queries import tokenizer_path
 
-    docs = docs.limit(0) if empty else docs
-    n, columns = (0 if empty else len(ROWS)), ["doc_id", "text", "lang", "source", "n_chars"]
-    plain = docs.select(columns)
-    assert licenses.scan(docs).count() == n
-    assert quality.assess(plain).count() == n
-    assert pii.anonymize(docs).count() == n
-    assert line_dedup.dedup(docs).count() == n
-    assert simhash.classes(docs).count() == n
-    assert simhash.dedup(docs).count() == (0 if empty else 4)
-    assert mixing.mix(plain).count() == n
-    assert toxicity.score(docs, None).count() == n
-    assert {r[0] for r in langid.identify(docs, None).select("lang_pred").collect()} <= {"und"}
-    pieces = packing.pack(plain, tokenizer_path())
-    assert pieces.select("sequence_id", "offset").distinct().count() == pieces.count()
+    assert packing.pack(docs.limit(0), tokenizer_path()).count() == 0
+    pieces = packing.pack(docs.withColumn("length", F.lit("mine")), tokenizer_path()).toPandas()
+    assert pieces.groupby("piece").size()[0] == len(ROWS)
+    for _, g in pieces.sort_values("offset").groupby("sequence_id"):
+        assert g["offset"].tolist() == [0, *g["length"].cumsum().tolist()[:-1]] and g["length"].sum() <= 1024
 
 
 def test_license_rules(spark):
@@ -113,3 +137,22 @@ def test_ann_recall(spark):
         s[q] = -np.inf
         hits += len(set(np.argsort(-s)[:10]) & set(g.vec_id))
     assert hits / len(got) >= 0.9 and got["query_id"].nunique() == 30
+
+
+def test_components_of_long_chains(spark):
+    """A path of 300 nodes in random order is one component; another stays alone."""
+    ids = np.random.default_rng(5).permutation(300).tolist()
+    nodes = spark.createDataFrame([(i, i) for i in [*ids, 900]], "_fp long, _key long")
+    edges = spark.createDataFrame(list(zip(ids, ids[1:])), "_fp long, _root long")
+    got = {r[0]: r[1] for r in simhash.components(nodes, edges).collect()}
+    assert got == {**dict.fromkeys(ids, 0), 900: 900}
+
+
+def test_languages_need_letters():
+    assert langid.features("½ ² ③ ① 12 _") is None and langid.features("x") is not None
+
+
+def test_toxicity_finds_the_word():
+    d = toxicity.Distance(*MODEL[:2])
+    d.learn({b"idiot", b"day"})
+    assert d.memo[b"idiot"] > 0 >= d.memo[b"day"]
