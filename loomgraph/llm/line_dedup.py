@@ -53,7 +53,8 @@ def dedup(docs: DataFrame, min_sites: int = 5, text: str = "text", site: str = "
     drops = lines.select("_h", "_place").join(F.broadcast(boiler) if few else boiler, "_h").where(F.col("_place") != F.col("_first"))
     drops = cut(drops.groupBy(F.col("_place._rid").alias("_rid")).agg(F.array_sort(F.collect_set("_place._pos")).alias("_gone")))
     discard(lines, boiler)
-    out = numbered.join(drops, "_rid", "left").withColumn("_n", F.coalesce(F.size("_gone"), F.lit(0))).withColumn("_n", F.greatest("_n", F.lit(0)))
+    # Texts move once, unsorted, at every size.
+    out = numbered.join(drops.hint("shuffle_hash"), "_rid", "left").withColumn("_n", F.coalesce(F.size("_gone"), F.lit(0))).withColumn("_n", F.greatest("_n", F.lit(0)))
     # The stretches between removed lines, each cut out once: linear in the lines of a document.
     array, edge = F.split(body, "\n"), lambda a, i: F.when(i < 0, -1).otherwise(F.coalesce(F.get("_gone", i), F.size(a)))
     stretch = lambda a: F.transform(F.sequence(F.lit(0), F.col("_n")), lambda i: F.slice(a, edge(a, i - 1) + 2, edge(a, i) - edge(a, i - 1) - 1))

@@ -155,5 +155,5 @@ def resample(docs: DataFrame, weights=WEIGHTS, seed: int = 42, text: str = "text
     upto = lambda x: _div(x + draw, F.lit(1_000_000))
     times = cut(placed.select("_rid", (upto(F.col("_before") + F.col("_share")) - upto(F.col("_before"))).cast("int").alias("_times")).where("_times > 0"))
     discard(dealt)
-    out = sized.select("_rid", "_row").join(times, "_rid")
+    out = sized.select("_rid", "_row").join(times.hint("shuffle_hash"), "_rid")
     return out.select("_row", F.explode(F.array_repeat(F.lit(0), F.col("_times"))).alias("_i")).select(*unboxed(docs.columns))
