@@ -1,85 +1,14 @@
-"""Graph operators over nodes (id, label, name, file_path, …) and edges (source_id, target_id, type, confidence)."""
+"""Co-change mining and debounced sessions."""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
-
-def expand(frontier: DataFrame, edges: DataFrame, inbound: bool = False) -> DataFrame:
-    """One hop from ``frontier`` (_start, _at, depth, path); nodes already on a path are not visited again."""
-    here, there = ("target_id", "source_id") if inbound else ("source_id", "target_id")
-    step = edges.select(F.col(here).alias("_at"), F.col(there).alias("_to")).distinct()
-    out = frontier.join(step, "_at").where(~F.array_contains("path", F.col("_to")))
-    return out.select("_start", F.col("_to").alias("_at"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("_to")).alias("path"))
-
-
-def var_paths(starts: DataFrame, edges: DataFrame, low: int, high: int, inbound: bool = False) -> DataFrame:
-    """All simple paths of ``low`` to ``high`` hops: start_id, node_id, depth, path."""
-    level = starts.select(F.col("id").alias("_start"), F.col("id").alias("_at"), F.lit(0).cast("long").alias("depth"), F.array("id").alias("path"))
-    found = level if low == 0 else None
-    for depth in range(1, high + 1):
-        level = expand(level, edges, inbound)
-        if depth >= low:
-            found = level if found is None else found.unionByName(level)
-    return found.select(F.col("_start").alias("start_id"), F.col("_at").alias("node_id"), "depth", "path")
-
-
-def bfs(starts: DataFrame, edges: DataFrame, depth: int, inbound: bool = False, min_confidence: float = 0.0) -> DataFrame:
-    """Nodes reached within ``depth`` hops and their smallest depth: start_id, node_id, depth. Visited sets, not paths."""
-    here, there = ("target_id", "source_id") if inbound else ("source_id", "target_id")
-    step = edges.where(F.col("confidence") >= min_confidence).select(F.col(here).alias("_at"), F.col(there).alias("_to")).distinct()
-    seen = starts.select(F.col("id").alias("start_id"), F.col("id").alias("node_id"), F.lit(0).cast("long").alias("depth"))
-    level = seen
-    for n in range(1, depth + 1):
-        reached = level.join(step, F.col("node_id") == F.col("_at")).select("start_id", F.col("_to").alias("node_id")).distinct()
-        level = reached.join(seen, ["start_id", "node_id"], "left_anti").withColumn("depth", F.lit(n).cast("long"))
-        seen = seen.unionByName(level)
-    return seen.where("depth > 0")
-
-
-def degrees(nodes: DataFrame, edges: DataFrame, types: list[str]) -> DataFrame:
-    """``nodes`` with in_degree and out_degree over ``types``."""
-    e = edges.where(F.col("type").isin(types))
-    ends = e.select(F.col("target_id").alias("id"), F.lit(1).alias("i"), F.lit(0).alias("o")).unionByName(e.select(F.col("source_id").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o")))
-    total = ends.groupBy("id").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
-    return nodes.join(total, "id", "left").na.fill(0, ["in_degree", "out_degree"])
-
-
-def risk(depth):
-    """Risk label of a caller by its distance."""
-    return F.when(depth == 1, "CRITICAL").when(depth == 2, "HIGH").when(depth == 3, "MEDIUM").otherwise("LOW")
-
-
-def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int, damping: float = 0.85) -> DataFrame:
-    """id, rank after ``rounds`` uniform-teleport rounds; the rank of nodes without links out is spread evenly."""
-    links = edges.select("source_id", "target_id").distinct()
-    out = links.groupBy("source_id").agg(F.count(F.lit(1)).alias("_out"))
-    n = nodes.count()
-    spread = links.join(out, "source_id").select(F.col("source_id").alias("id"), "target_id", "_out")
-    sinks = nodes.select("id").join(out, F.col("id") == F.col("source_id"), "left").select("id", F.col("_out").isNull().alias("_sink"))
-    ranks = sinks.withColumn("rank", F.lit(1.0 / n))
-    for _ in range(rounds):
-        flow = ranks.join(spread, "id").groupBy(F.col("target_id").alias("id")).agg(F.sum(F.col("rank") / F.col("_out")).alias("_in"))
-        lost = ranks.where("_sink").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("_lost"))
-        ranks = sinks.join(flow, "id", "left").join(F.broadcast(lost)).select(  # one row
-            "id", "_sink", ((1 - damping) / n + damping * (F.coalesce("_in", F.lit(0.0)) + F.col("_lost") / n)).alias("rank")
-        )
-    return ranks.select("id", "rank")
 
 
 def co_changes(changes: DataFrame, least: int = 3, most: int = 20) -> DataFrame:
     """file_a, file_b, count: pairs of files changed together in ``least`` commits or more, of commits with 2 to ``most`` files."""
-    files = changes.distinct()
-    fine = files.groupBy("commit").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & (F.col("n") <= most)).select("commit")
-    files = files.join(fine, "commit")
-    a, b = files.withColumnRenamed("file", "file_a"), files.withColumnRenamed("file", "file_b")
-    pairs = a.join(b, "commit").where(F.col("file_a") < F.col("file_b"))  # at most 190 a commit
-    return pairs.groupBy("file_a", "file_b").agg(F.count(F.lit(1)).alias("count")).where(F.col("count") >= least)
-
-
-def sessions(events: DataFrame, key: str, ts: str, gap_seconds: int) -> DataFrame:
-    """Debounced batches per key: events at most ``gap_seconds`` apart drain together."""
-    w = Window.partitionBy(key).orderBy(ts)
-    fresh = F.coalesce((F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.lag(ts).over(w).cast("timestamp")) > gap_seconds * 1_000_000).cast("long"), F.lit(1))
-    marked = events.withColumn("_new", fresh).withColumn("_batch", F.sum("_new").over(w))
-    return marked.groupBy(key, "_batch").agg(F.min(ts).alias("start_ts"), F.max(ts).alias("end_ts"), F.count(F.lit(1)).alias("n_events")).drop("_batch")
+    files = changes.select("commit", "file").distinct()
+    fine = files.groupBy("commit").agg(F.array_sort(F.slice(F.collect_set("file"), 1, most + 1)).alias("f"))
+    fine = fine.where((F.size("f") > 1) & (F.size("f") <= most))
+    # At most 190 pairs a commit, made inside its row.
+    pairs = fine.select(F.explode(F.flatten(F.transform("f", lambda a, i: F.transform(F.slice("f", i + 2, F.lit(most)), lambda b: F.struct(a.alias("file_a"), b.alias("file_b")))))).alias("p"))
+    return pairs.groupBy("p.file_a", "p.file_b").agg(F.count(F.lit(1)).alias("count")).where(F.col("count") >= least)

@@ -1,266 +1,6 @@
-"""Registered graph queries and their SQL twins. Names and columns match between the two."""
+"""All registered graph queries."""
 
-from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from loomgraph.plans import language, passes, stores, summaries, traversal  # noqa: F401
+from loomgraph.plans.registry import QUERIES, SQL
 
-from loomgraph.operators import graph as g
-from loomgraph.sources import tpch_graph as src
-
-CALL_TYPES = ["CALLS", "ASYNC_CALLS"]
-QUERIES, SQL = {}, {}
-
-
-def query(sql: str | None = None, prefix: str = f"WITH {src.SQL} ", name: str | None = None):
-    def add(f):
-        QUERIES[name or f.__name__] = f
-        if sql:
-            SQL[name or f.__name__] = prefix + sql
-        return f
-
-    return add
-
-
-def _n(s, d):
-    return src.nodes(s, d)
-
-
-def _start(s, d):
-    return src.parts(s, d).where(F.col("id") == "p1")
-
-
-NODE = "SELECT id, name FROM nodes WHERE "
-FILTERS = {
-    "single_label_filter": ("label = 'Nation'", "label = 'Nation'"),
-    "contains_ilike": ("label = 'Part' AND lower(name) LIKE '%1%'",) * 2,
-    "starts_with": ("name LIKE 'Customer#00%'",) * 2,
-    "ends_with": ("name LIKE '%7'",) * 2,
-    "in_list": ("id IN ('p1', 'p2', 'c5', 'n3')",) * 2,
-    "labels_in": ("label IN ('Region', 'Supplier')",) * 2,
-    "or_precedence": ("label = 'Region' OR label = 'Part' AND start_line > 40",) * 2,
-    "null_check": ("file_path IS NULL AND label <> 'Customer'",) * 2,
-    "numeric_range": ("start_line >= 10 AND start_line < 20",) * 2,
-}
-for _name, (_spark, _duck) in FILTERS.items():
-    query(NODE + _duck, name=_name)(lambda s, d, c=_spark: _n(s, d).where(c).select("id", "name"))
-
-
-@query("SELECT source_id, target_id, type, confidence FROM edges WHERE type = 'CALLS' AND source_id IN ('p1', 'p2', 'p3')")
-def hop_out(s, d):
-    return src.calls(s, d).where("type = 'CALLS' AND source_id IN ('p1', 'p2', 'p3')")
-
-
-@query("SELECT target_id, source_id AS caller FROM edges WHERE type = 'CALLS' AND target_id = 'p1'")
-def hop_in(s, d):
-    return src.calls(s, d).where("type = 'CALLS' AND target_id = 'p1'").select("target_id", F.col("source_id").alias("caller"))
-
-
-@query("SELECT source_id, target_id FROM edges WHERE confidence >= 0.99")
-def hop_edge_prop(s, d):
-    return src.calls(s, d).where("confidence >= 0.99").select("source_id", "target_id")
-
-
-@query("SELECT a.source_id AS a, a.target_id AS b, b.target_id AS c FROM edges a JOIN edges b ON a.target_id = b.source_id WHERE a.type = 'CALLS' AND b.type = 'HTTP_CALLS' AND a.source_id IN ('p1', 'p7')")
-def multi_hop_chain(s, d):
-    e = src.calls(s, d)
-    a = e.where("type = 'CALLS' AND source_id IN ('p1', 'p7')").select(F.col("source_id").alias("a"), F.col("target_id").alias("b"))
-    return a.join(e.where("type = 'HTTP_CALLS'").select(F.col("source_id").alias("b"), F.col("target_id").alias("c")), "b").select("a", "b", "c")
-
-
-@query("SELECT n.id, e.target_id FROM nodes n LEFT JOIN edges e ON n.id = e.source_id AND e.type = 'CALLS' WHERE n.label = 'Part' AND n.start_line = 1")
-def optional_match(s, d):
-    e = src.calls(s, d).where("type = 'CALLS'").select(F.col("source_id").alias("id"), "target_id")
-    return src.parts(s, d).where("start_line = 1").join(e, "id", "left").select("id", "target_id")
-
-
-@query("SELECT source_id, target_id, type, confidence FROM edges WHERE type = 'CALLS'")
-def hop_out_all(s, d):
-    return src.calls(s, d).where("type = 'CALLS'").select("source_id", "target_id", "type", "confidence")
-
-
-@query("SELECT target_id, source_id AS caller FROM edges WHERE type = 'CALLS'")
-def hop_in_all(s, d):
-    return src.calls(s, d).where("type = 'CALLS'").select("target_id", F.col("source_id").alias("caller"))
-
-
-@query("SELECT a, c, sum(x.n * y.n)::BIGINT AS n FROM (SELECT source_id AS a, target_id AS b, count(*) AS n FROM edges WHERE type = 'CALLS' GROUP BY 1, 2) x JOIN (SELECT source_id AS b, target_id AS c, count(*) AS n FROM edges WHERE type = 'HTTP_CALLS' GROUP BY 1, 2) y USING (b) GROUP BY 1, 2")
-def multi_hop_chain_all(s, d):
-    """Two-hop chains over all edges, counted per pair of ends."""
-    e = src.calls(s, d)
-    a = e.where("type = 'CALLS'").groupBy(F.col("source_id").alias("a"), F.col("target_id").alias("b")).agg(F.count(F.lit(1)).alias("_n"))
-    b = e.where("type = 'HTTP_CALLS'").groupBy(F.col("source_id").alias("b"), F.col("target_id").alias("c")).agg(F.count(F.lit(1)).alias("_m"))
-    return a.join(b, "b").groupBy("a", "c").agg(F.sum(F.col("_n") * F.col("_m")).alias("n"))
-
-
-@query("SELECT n.id, e.target_id FROM nodes n LEFT JOIN edges e ON n.id = e.source_id AND e.type = 'CALLS' WHERE n.label = 'Part'")
-def optional_match_all(s, d):
-    e = src.calls(s, d).where("type = 'CALLS'").select(F.col("source_id").alias("id"), "target_id")
-    return src.parts(s, d).join(e, "id", "left").select("id", "target_id")
-
-
-@query("SELECT id FROM nodes n WHERE label = 'Part' AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.target_id = n.id AND type = 'CALLS')")
-def not_exists_in(s, d):
-    return src.parts(s, d).join(src.calls(s, d).where("type = 'CALLS'").select(F.col("target_id").alias("id")), "id", "left_anti").select("id")
-
-
-@query("SELECT id FROM nodes n WHERE label = 'Part' AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.source_id = n.id AND type = 'HTTP_CALLS')")
-def not_exists_out(s, d):
-    return src.parts(s, d).join(src.calls(s, d).where("type = 'HTTP_CALLS'").select(F.col("source_id").alias("id")), "id", "left_anti").select("id")
-
-
-@query("SELECT id FROM nodes n WHERE label = 'Part' AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.target_id = n.id AND type IN ('CALLS', 'ASYNC_CALLS'))")
-def not_exists_alternation(s, d):
-    return src.parts(s, d).join(src.calls(s, d).where(F.col("type").isin(CALL_TYPES)).select(F.col("target_id").alias("id")), "id", "left_anti").select("id")
-
-
-@query("SELECT count(*) AS n FROM nodes")
-def count_star(s, d):
-    return _n(s, d).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("SELECT source_id, count(*) AS n FROM edges GROUP BY 1")
-def count_hop(s, d):
-    return src.calls(s, d).groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("SELECT DISTINCT label, file_path FROM nodes")
-def distinct_return(s, d):
-    return _n(s, d).select("label", "file_path").distinct()
-
-
-@query("SELECT id, name FROM nodes ORDER BY name, id LIMIT 25")
-def order_limit(s, d):
-    return _n(s, d).orderBy("name", "id").limit(25).select("id", "name")
-
-
-@query("SELECT id, name FROM nodes ORDER BY name, id LIMIT 50 OFFSET 200")
-def paging_offset(s, d):
-    return _n(s, d).orderBy("name", "id").offset(200).limit(50).select("id", "name")
-
-
-@query("SELECT label, count(*) AS n FROM nodes GROUP BY 1")
-def label_counts(s, d):
-    return _n(s, d).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("SELECT type, count(*) AS n FROM edges GROUP BY 1")
-def type_counts(s, d):
-    return src.calls(s, d).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("SELECT a.file_path AS source_file, e.type, b.file_path AS target_file, count(*) AS n FROM edges e JOIN nodes a ON a.id = e.source_id JOIN nodes b ON b.id = e.target_id GROUP BY 1, 2, 3")
-def relationship_patterns(s, d):
-    a = src.parts(s, d).select(F.col("id").alias("source_id"), F.col("file_path").alias("source_file"))
-    b = src.parts(s, d).select(F.col("id").alias("target_id"), F.col("file_path").alias("target_file"))
-    return src.calls(s, d).join(a, "source_id").join(b, "target_id").groupBy("source_file", "type", "target_file").agg(F.count(F.lit(1)).alias("n"))
-
-
-DEGREE = """, deg AS (SELECT n.id, n.name, coalesce(i.n, 0) AS in_degree, coalesce(o.n, 0) AS out_degree FROM nodes n
-  LEFT JOIN (SELECT target_id, count(*) AS n FROM edges WHERE type IN ('CALLS', 'ASYNC_CALLS') GROUP BY 1) i ON n.id = i.target_id
-  LEFT JOIN (SELECT source_id, count(*) AS n FROM edges WHERE type IN ('CALLS', 'ASYNC_CALLS') GROUP BY 1) o ON n.id = o.source_id WHERE n.label = 'Part') """
-DEG = f"WITH {src.SQL}{DEGREE}"
-
-
-def _deg(s, d):
-    return g.degrees(src.parts(s, d), src.calls(s, d), CALL_TYPES).select("id", "name", "in_degree", "out_degree")
-
-
-query("SELECT * FROM deg", DEG, "node_degree_both")(_deg)
-query("SELECT id FROM deg WHERE in_degree BETWEEN 3 AND 6", DEG, "degree_min_max")(lambda s, d: _deg(s, d).where("in_degree BETWEEN 3 AND 6").select("id"))
-query("SELECT id FROM deg WHERE in_degree = 0", DEG, "degree_union_types")(lambda s, d: _deg(s, d).where("in_degree = 0").select("id"))
-
-
-@query("SELECT id, in_degree + out_degree AS degree FROM deg ORDER BY degree DESC, id LIMIT 20", DEG)
-def hotspots_top20(s, d):
-    return _deg(s, d).select("id", (F.col("in_degree") + F.col("out_degree")).alias("degree")).orderBy(F.desc("degree"), "id").limit(20)
-
-
-PATHS = f"""WITH RECURSIVE {src.SQL}, calls AS (SELECT DISTINCT source_id, target_id FROM edges WHERE type = 'CALLS'),
-walk AS (SELECT 'p1' AS node_id, 0::BIGINT AS depth, ['p1'] AS path UNION ALL
-  SELECT c.target_id, w.depth + 1, list_append(w.path, c.target_id) FROM walk w JOIN calls c ON c.source_id = w.node_id WHERE w.depth < 3 AND NOT list_contains(w.path, c.target_id)) """
-
-
-def _calls(s, d):
-    return src.calls(s, d).where("type = 'CALLS'")
-
-
-@query("SELECT node_id, depth, array_to_string(path, '>') AS path FROM walk WHERE depth BETWEEN 1 AND 2", PATHS)
-def varpath_1_2(s, d):
-    return g.var_paths(_start(s, d), _calls(s, d), 1, 2).select("node_id", "depth", F.array_join("path", ">").alias("path"))
-
-
-@query("SELECT node_id, depth, array_to_string(path, '>') AS path FROM walk WHERE depth BETWEEN 2 AND 3", PATHS)
-def varpath_bounded(s, d):
-    return g.var_paths(_start(s, d), _calls(s, d), 2, 3).select("node_id", "depth", F.array_join("path", ">").alias("path"))
-
-
-@query("SELECT node_id, min(depth) AS depth FROM walk WHERE depth > 0 GROUP BY 1", PATHS)
-def bfs_paths_out(s, d):
-    return g.bfs(_start(s, d), _calls(s, d), 3).select("node_id", "depth")
-
-
-PATHS_IN = PATHS.replace("c.target_id", "c._x").replace("c.source_id", "c.target_id").replace("c._x", "c.source_id")
-
-
-@query("SELECT node_id, min(depth) AS depth FROM walk WHERE depth > 0 GROUP BY 1", PATHS_IN)
-def bfs_paths_in(s, d):
-    return g.bfs(_start(s, d), _calls(s, d), 3, inbound=True).select("node_id", "depth")
-
-
-@query("SELECT node_id, min(depth) AS depth FROM walk WHERE depth > 0 GROUP BY 1", PATHS.replace("type = 'CALLS'", "type = 'CALLS' AND confidence >= 0.95"))
-def bfs_min_confidence(s, d):
-    return g.bfs(_start(s, d), _calls(s, d), 3, min_confidence=0.95).select("node_id", "depth")
-
-
-RISK = "CASE depth WHEN 1 THEN 'CRITICAL' WHEN 2 THEN 'HIGH' WHEN 3 THEN 'MEDIUM' ELSE 'LOW' END"
-
-
-@query(f"SELECT node_id, depth, {RISK} AS risk FROM (SELECT node_id, min(depth) AS depth FROM walk WHERE depth > 0 GROUP BY 1)", PATHS_IN)
-def trace_with_risk(s, d):
-    return bfs_paths_in(s, d).withColumn("risk", g.risk(F.col("depth")))
-
-
-@query(f"SELECT {RISK} AS risk, count(*) AS n FROM (SELECT node_id, min(depth) AS depth FROM walk WHERE depth > 0 GROUP BY 1) GROUP BY 1", PATHS_IN)
-def risk_summary(s, d):
-    return trace_with_risk(s, d).groupBy("risk").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("""SELECT 'p' || a.f AS file_a, 'p' || b.f AS file_b, count(*) AS count FROM files a JOIN files b ON a.c = b.c AND 'p' || a.f < 'p' || b.f GROUP BY 1, 2 HAVING count(*) >= 3""",
-       "WITH t AS (SELECT DISTINCT l_orderkey AS c, l_partkey AS f FROM lineitem), files AS (SELECT * FROM t WHERE c IN (SELECT c FROM t GROUP BY 1 HAVING count(*) BETWEEN 2 AND 20)) ")
-def cochange_pairs(s, d):
-    return g.co_changes(src.table(s, d, "lineitem").select(F.col("l_orderkey").alias("commit"), F.concat(F.lit("p"), "l_partkey").alias("file")))
-
-
-@query("SELECT doc_id, pos - 1 AS line_no, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents) WHERE lower(line) LIKE '%license%'", "")
-def code_search_lines(s, d):
-    lines = src.table(s, d, "documents").where(F.lower("text").contains("license")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return lines.where(F.lower("line").contains("license")).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "line")
-
-
-@query("SELECT doc_id, md5(text) AS content_hash FROM documents WHERE text IS NOT NULL", "")
-def catalog_hash(s, d):
-    return src.table(s, d, "documents").where("text IS NOT NULL").select("doc_id", F.md5(F.col("text").cast("binary")).alias("content_hash"))
-
-
-@query("SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'added' WHEN doc_id % 10 = 1 THEN 'changed' ELSE 'unchanged' END AS state FROM documents", "")
-def classify_changes(s, d):
-    now = src.table(s, d, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("h"))
-    then = now.where("doc_id % 10 <> 0").select("doc_id", F.when(F.col("doc_id") % 10 == 1, "old").otherwise(F.col("h")).alias("was"))
-    return now.join(then, "doc_id", "left").select("doc_id", F.when(F.col("was").isNull(), "added").when(F.col("was") != F.col("h"), "changed").otherwise("unchanged").alias("state"))
-
-
-@query("""SELECT user_id, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS n_events FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM (
-  SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL OR ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 3600 SECOND THEN 1 ELSE 0 END AS fresh FROM events)) GROUP BY user_id, b""", "")
-def debounce_sessions(s, d):
-    return g.sessions(src.table(s, d, "events").select("user_id", "ts"), "user_id", "ts", 3600)
-
-
-@query("SELECT source_id, target_id, type, confidence FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY confidence DESC, target_id, type) AS k FROM edges) WHERE k = 1")
-def call_resolution_best(s, d):
-    w = Window.partitionBy("source_id").orderBy(F.desc("confidence"), "target_id", "type")
-    return src.calls(s, d).withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")
-
-
-@query(f"""SELECT id, round(r5, 9) AS rank FROM p5""", f"WITH {src.SQL}, v AS MATERIALIZED (SELECT id, 1.0::DOUBLE / count(*) OVER () AS r0, count(*) OVER ()::DOUBLE AS n FROM nodes WHERE label = 'Part'), l AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY source_id) AS o FROM (SELECT DISTINCT source_id, target_id FROM edges)), p0 AS (SELECT * FROM v)" + "".join(
-    f", p{i} AS MATERIALIZED (SELECT p.id, p.n, 0.15 / p.n + 0.85 * (coalesce(f.x, 0) + (SELECT coalesce(sum(r{i - 1}), 0) FROM p{i - 1} WHERE id NOT IN (SELECT source_id FROM l)) / p.n) AS r{i} FROM p{i - 1} p LEFT JOIN (SELECT target_id, sum(r{i - 1} / o) AS x FROM l JOIN p{i - 1} q ON q.id = l.source_id GROUP BY 1) f ON f.target_id = p.id)" for i in range(1, 6)) + " ")
-def pagerank_5iter(s, d):
-    return g.pagerank(src.parts(s, d).select("id"), src.calls(s, d), 5).select("id", F.round("rank", 9).alias("rank"))
+__all__ = ["QUERIES", "SQL"]
