@@ -4,9 +4,15 @@ Binary codes come from learned rotations (iterative quantisation on a bounded sa
 each indexed by its value. Two codes within Hamming radius r agree in some substring up to r // substrings bits, so probing
 every value that near retrieves every code within the radius; those are reranked by inner products in double precision.
 
-The index is laid out in blocks of rows, and queries meet each block once. Per query and block the radius is the smallest
-that reaches ``share`` of the block (at least k codes). Vectors that are null, zero, of another dimension than the most
-common one, or that hold null or non-finite components take no part. Ties go to the smaller id. An empty table gives an empty result.
+Nearness is the inner product, so vectors are first lifted to one length: rows gain a coordinate sqrt(M^2 - |x|^2), M the
+greatest length, and queries a zero. Near in angle is then near in inner product, whatever the lengths.
+
+The index is laid out in blocks of at most some ``block`` rows, and blocks of queries meet each of them once; their numbers
+follow the rows alone. Per query and block the radius is the smallest that reaches ``share`` of the block (at least k codes).
+A query is a row: its own row is left out, another row of the same id is a candidate, and each row of a repeated query id
+gets its own list. Vectors that are null, zero, of another dimension than the most common one, or that hold null or
+non-finite components take no part; null ids sort after all others. Ties go to the smaller id. An empty table gives an
+empty result, and columns beside id and vector are not read.
 """
 
 import numpy as np
@@ -15,10 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut
+from .common import cut, quoted
 
 SAMPLE, ROTATIONS, SUBSTRING = 8192, 4, 8
-BLOCK, QUERY_BLOCK, SHARE = 16_384, 65_536, 0.3
+BLOCK, QUERY_BLOCK, SHARE = 8192, 2048, 0.15
+LAST = (1 << 63) - 1
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -78,39 +85,55 @@ def probe(queries: np.ndarray, codes: np.ndarray, share: float, k: int, chunk: i
         yield i, np.flatnonzero(dist <= near[want - 1]) if len(near) >= want else np.arange(n)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", share: float = SHARE, block: int = BLOCK) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest rows of each query, the row of its own id left out."""
-    slim = lambda df: cut(valid(df, vector).select(F.col(vec_id).cast("long").alias("_id"), F.col(vector).cast("array<double>").alias("_v")))
-    rows, asks = slim(vectors), slim(queries)
+def lift(x: np.ndarray, longest: float) -> np.ndarray:
+    """Rows of one length ``longest``, scaled to one; the added coordinate is what their length lacks."""
+    x = x / longest
+    return np.hstack([x, np.sqrt(np.maximum(0.0, 1 - (x * x).sum(1)))[:, None]])
+
+
+def ask(x: np.ndarray) -> np.ndarray:
+    """Queries on the same sphere: only their direction counts."""
+    return np.hstack([x / np.maximum(np.linalg.norm(x, axis=1), np.finfo(float).tiny)[:, None], np.zeros((len(x), 1))])
+
+
+def search(vectors: DataFrame, queries, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", share: float = SHARE, block: int = BLOCK) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest rows of each row that the condition ``queries`` picks, its own left out."""
     spark = vectors.sparkSession
-    out = "query_id long, vec_id long, score double"
+    own = F.coalesce(queries, F.lit(False)).alias("_ask")
+    fine = valid(vectors.select(F.col(quoted(vec_id)).cast("long").alias("_id"), F.col(quoted(vector)).cast("array<double>").alias("_v"), own), "_v")
+    rows = cut(fine.withColumn("_rid", F.monotonically_increasing_id()))
+    out = "query_id long, _q_rid long, vec_id long, score double"
     dims = rows.groupBy(F.size("_v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if dims is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows, asks = rows.where(F.size("_v") == dims[0]), asks.where(F.size("_v") == dims[0])
-    n, nq = rows.count(), asks.count()
-    sample = np.array([r[0] for r in rows.orderBy(F.xxhash64("_id"), "_id").select("_v").limit(SAMPLE).collect()])
-    model = learn(sample)
+    rows = rows.where(F.size("_v") == dims[0])
+    length = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, x: a + x * x))
+    n, nq, longest = rows.agg(F.count(F.lit(1)), F.count_if("_ask"), F.max(length)).first()
+    if not np.isfinite(longest):
+        raise ValueError("a vector's length is beyond double precision")
+    sample = np.array([r[0] for r in rows.orderBy(F.xxhash64("_id", "_rid"), "_id", "_rid").select("_v").limit(SAMPLE).collect()])
+    model = learn(lift(sample, longest))
     blocks, parts = max(1, -(-n // block)), max(1, -(-nq // QUERY_BLOCK))
-    # Smaller blocks than the bound where the cluster has cores to spare.
-    blocks = max(blocks, min(spark.sparkContext.defaultParallelism, n // 1024))
-    deal = lambda df, own, m, other, p: df.withColumn(own, F.pmod(F.xxhash64("_id", F.hash("_v")), F.lit(m))).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(p - 1))))
-    left = deal(asks, "_q", parts, "_b", blocks).select(F.col("_q").cast("int"), F.col("_b").cast("int"), "_id", "_v")
-    right = deal(rows, "_b", blocks, "_q", parts).select(F.col("_q").cast("int"), F.col("_b").cast("int"), "_id", "_v")
+    deal = lambda df, own, m, other, p: df.withColumn(own, F.pmod(F.xxhash64("_rid"), F.lit(m))).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(p - 1))))
+    picked = lambda df: df.select(F.col("_q").cast("int"), F.col("_b").cast("int"), F.coalesce("_id", F.lit(LAST)).alias("_id"), "_rid", "_v")
+    left = picked(deal(rows.where("_ask"), "_q", parts, "_b", blocks))
+    right = picked(deal(rows, "_b", blocks, "_q", parts))
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        kinds = {"query_id": "int64", "_q_rid": "int64", "vec_id": "int64", "score": "float64"}
         if a.empty or b.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-        qid, ids = a["_id"].to_numpy(), b["_id"].to_numpy()
+            return pd.DataFrame({c: [] for c in kinds}).astype(kinds)
+        qid, qrow, ids, row = a["_id"].to_numpy(), a["_rid"].to_numpy(), b["_id"].to_numpy(), b["_rid"].to_numpy()
         qv, v = np.stack(a["_v"].to_list()), np.stack(b["_v"].to_list())
         found = []
-        for i, c in probe(encode(qv, model), encode(v, model), share, k + 1):
-            c = c[ids[c] != qid[i]]
-            s = np.fromiter((0.0,), float) if not len(c) else (v[c] * qv[i]).sum(1)
-            top = np.lexsort((ids[c], -s))[:k] if len(c) else []
-            found += [(qid[i], ids[c[t]], s[t]) for t in top]
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+        for i, c in probe(encode(ask(qv), model), encode(lift(v, longest), model), share, k + 1):
+            c = c[row[c] != qrow[i]]
+            s = (v[c] * qv[i]).sum(1)
+            top = np.lexsort((ids[c], -s))[:k]
+            found += [(qid[i], qrow[i], ids[c[t]], s[t]) for t in top]
+        return pd.DataFrame(found, columns=list(kinds)).astype(kinds)
 
     best = left.groupBy("_q", "_b").cogroup(right.groupBy("_q", "_b")).applyInPandas(meet, out)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    w = Window.partitionBy("query_id", "_q_rid").orderBy(F.desc("score"), "vec_id")
+    ranked = best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", F.nullif("vec_id", F.lit(LAST)).alias("vec_id"), "score")

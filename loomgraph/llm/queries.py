@@ -28,8 +28,7 @@ def op3_pii_surrogates(spark, d):
 
 
 def op4_multi_index_hashing(spark, d):
-    vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
-    return ann.search(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+    return ann.search(table(spark, d, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0, k=20)
 
 
 def op5_best_fit_packing(spark, d):

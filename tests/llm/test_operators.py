@@ -127,16 +127,39 @@ def test_packing_near_the_bound():
     assert sum(t for _, t in plan) <= 1.03 * sum(n * k for n, k in counts.items()) / 1024
 
 
-def test_ann_recall(spark):
-    x = np.random.default_rng(3).standard_normal((600, 16))
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(700, None), (701, [0.0] * 16), (702, [float("nan")] * 16)], "vec_id long, embedding array<double>")
-    got = ann.search(df, df.where(F.col("vec_id") % 20 == 0), k=10).toPandas()
-    hits = 0
-    for q, g in got.groupby("query_id"):
-        s = x @ x[q]
-        s[q] = -np.inf
-        hits += len(set(np.argsort(-s)[:10]) & set(g.vec_id))
+def _exact(x, ids, q, k):
+    """Brute force: ids of the k largest inner products with row q, the row itself left out."""
+    s = x @ x[q]
+    order = sorted((i for i in range(len(x)) if i != q), key=lambda i: (-s[i], ids[i]))[:k]
+    return [(ids[i], s[i]) for i in order]
+
+
+@pytest.mark.parametrize("spread", [0.0, 1.0])
+def test_ann_recall(spark, spread):
+    """Vectors of one length and of log-normal lengths."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((600, 16)) * np.exp(spread * rng.standard_normal((600, 1)))
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)] + [(700, None, 1), (701, [0.0] * 16, 1), (702, [float("nan")] * 16, 1), (740, [1.0, 2.0], 1)], "vec_id long, embedding array<double>, score int")
+    got = ann.search(df, F.col("vec_id") % 20 == 0, k=10).toPandas()
+    hits = sum(len({i for i, _ in _exact(x, list(range(600)), q, 10)} & set(g.vec_id)) for q, g in got.groupby("query_id"))
     assert hits / len(got) >= 0.9 and got["query_id"].nunique() == 30
+    assert all(abs(r.score - x[r.query_id] @ x[r.vec_id]) < 1e-9 for r in got.itertuples())
+
+
+def test_ann_repeated_ids_and_outliers(spark):
+    """Fewer rows than a block's share: the result is exact, row by row, also for repeated and null ids."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((60, 8))
+    x[7] = 100 * x[20]
+    ids = [*range(58), 20, 33]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)] + [(None, x[0].tolist())], "vec_id long, embedding array<double>")
+    got = ann.search(df, F.col("vec_id") % 20 == 0, k=5, share=1.0).toPandas()
+    y, all_ids = np.vstack([x, x[:1]]), [*ids, 1 << 62]
+    want = sorted((ids[q], r, None if i == 1 << 62 else i) for q in range(60) if ids[q] % 20 == 0 for r, (i, _) in enumerate(_exact(y, all_ids, q, 5), 1))
+    clean = sorted((int(r.query_id), int(r.rank), None if r.vec_id != r.vec_id else int(r.vec_id)) for r in got.itertuples())
+    assert sorted(clean, key=str) == sorted(want, key=str)
+    assert got[(got.query_id == 20) & (got["rank"] == 1)].vec_id.tolist()[0] == 7
+    assert ann.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
 def test_components_of_long_chains(spark):
