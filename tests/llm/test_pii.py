@@ -23,3 +23,19 @@ def test_names_of_all_languages():
     for text in ("Herr Özil kam.", "Frau Julia Weiß kam.", "Mme Élodie Petit vient.", "Señora Ángela Ruiz"):
         assert [k for k, *_ in pii.replace(text, KEY)[1]] == ["name"]
     assert pii.surrogate("John Smith", "name", KEY).split()[1] == pii.surrogate("Smith", "name", KEY)
+
+
+def test_patterns_that_cannot_match_are_not_missed():
+    """The quick tests give the same entities as all patterns at once, on texts made of pieces that nearly match."""
+    import random
+    import re
+
+    from loomgraph.llm import pii
+
+    whole = re.compile("|".join(f"(?P<{k}>{p})" for k, p in pii.PATTERNS))
+    pieces = ["a@b.de", "token = \"abcdEFGH12\"", "AKIA" + "A1B2" * 4, "f" * 40, "DE44 5001 0517 5407 3249 31", "123-45-6789", "10.0.0.1", "4111 1111 1111 1111", "+49 30 1234567", "(030) 123-4567", "+1 (212) 555-1234",
+              "212.555.1234", "Mr. John Smith", "Frau Müller", "M. Le", "12", "1.2", "x = 3", "@", "key", "Sra. Ñandú", "word"]
+    rng = random.Random(1)
+    for _ in range(3000):
+        text = rng.choice(["", " ", "\n"]).join(rng.choice(pieces) + rng.choice(["", " ", ", "]) for _ in range(rng.randint(1, 4)))
+        assert [(m.lastgroup, m.span()) for m in pii.entities(text)] == [(m.lastgroup, m.span()) for m in whole.finditer(text)], text
