@@ -55,34 +55,48 @@ def encode(x: np.ndarray, model) -> np.ndarray:
     return np.packbits((x - model[0]) @ model[1] > 0, axis=1)
 
 
-def probe(queries: np.ndarray, codes: np.ndarray, share: float, k: int, chunk: int = 128):
+def _packed(codes: np.ndarray) -> np.ndarray:
+    """Codes as whole 64-bit words."""
+    wide = np.zeros((len(codes), -(-codes.shape[1] // 8) * 8), np.uint8)
+    wide[:, : codes.shape[1]] = codes
+    return wide.view(np.uint64)
+
+
+def probe(queries: np.ndarray, codes: np.ndarray, share: float, k: int):
     """Yield (query number, candidate numbers): every code within that query's radius.
 
-    Each substring has a directory of the codes by value; with radius r the probed values are those within
-    r // substrings bits, and candidates are checked on their whole code.
+    With radius r the probed values of each substring are those within r // substrings bits; what they retrieve is checked
+    on its whole code. Few values are read from the substring's directory, many by a table over its values. The first radius
+    tried is guessed from every 32nd code, and grows by whole probing steps until it holds the share.
     """
     n, m = codes.shape
     order = [np.argsort(codes[:, j], kind="stable") for j in range(m)]
     ends = [np.searchsorted(codes[order[j], j], np.arange(257)) for j in range(m)]
+    columns, words, asked = np.ascontiguousarray(codes.T), _packed(codes), _packed(queries)
     want = min(n, max(k, int(np.ceil(share * n))))
+    some, values = words[::32], np.arange(256)
     for i, q in enumerate(queries):
-        dist = np.full(n, 255 * 8, np.int32)
-        seen, radius = np.zeros(n, bool), -1
-        # The radius grows by whole probing steps; each adds the values one bit further off in every substring.
-        for s in range(9):
-            fresh = []
+        guess = np.sort(np.bitwise_count(some ^ asked[i]).sum(1, dtype=np.int32))[min(len(some) - 1, want * len(some) // n)]
+        step = min(8, max(0, -(-(int(guess) + 1) // m) - 1))
+        while True:
+            seen = np.zeros(n, bool)
             for j in range(m):
-                for value in np.flatnonzero(_ONES[np.arange(256) ^ q[j]] == s):
-                    fresh.append(order[j][ends[j][value] : ends[j][value + 1]])
-            new = np.concatenate(fresh) if fresh else np.zeros(0, np.int64)
-            new = np.unique(new[~seen[new]])
-            seen[new] = True
-            dist[new] = _ONES[codes[new] ^ q].sum(1, dtype=np.int32)
-            radius = m * (s + 1) - 1  # all codes this near have been retrieved
-            if (dist <= radius).sum() >= want:
+                near = _ONES[values ^ q[j]] <= step
+                if step < 2:
+                    for value in np.flatnonzero(near):
+                        seen[order[j][ends[j][value] : ends[j][value + 1]]] = True
+                else:
+                    seen |= near[columns[j]]
+                    if j & 3 == 3 and seen.all():
+                        break
+            found = np.flatnonzero(seen)
+            dist = np.bitwise_count(words[found] ^ asked[i]).sum(1, dtype=np.int32)
+            radius = m * (step + 1) - 1  # all codes this near have been retrieved
+            if (dist <= radius).sum() >= want or step == 8:
                 break
-        near = np.sort(dist[dist <= radius])
-        yield i, np.flatnonzero(dist <= near[want - 1]) if len(near) >= want else np.arange(n)
+            step += 1
+        limit = np.partition(dist, want - 1)[want - 1] if len(dist) >= want else radius
+        yield i, found[dist <= limit]
 
 
 def lift(x: np.ndarray, longest: float) -> np.ndarray:
@@ -129,6 +143,9 @@ def search(vectors: DataFrame, queries, k: int = 20, vec_id: str = "vec_id", vec
         for i, c in probe(encode(ask(qv), model), encode(lift(v, longest), model), share, k + 1):
             c = c[row[c] != qrow[i]]
             s = (v[c] * qv[i]).sum(1)
+            if len(c) > k:
+                best = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k])
+                c, s = c[best], s[best]
             top = np.lexsort((ids[c], -s))[:k]
             found += [(qid[i], qrow[i], ids[c[t]], s[t]) for t in top]
         return pd.DataFrame(found, columns=list(kinds)).astype(kinds)
