@@ -42,16 +42,26 @@ def words(text) -> list[bytes]:
     return [x for x in (w.strip(STRIP) for w in (text or "").encode("utf-8", "surrogatepass").lower().split()) if x]
 
 
+def _all_words(texts: list[str], pool: dict[bytes, bytes]) -> list[list[bytes]]:
+    """Words of each text, equal ones as one object: the driver holds each word once."""
+    return [[pool.setdefault(w, w) for w in words(t)] for t in texts]
+
+
 def _contexts(texts: list[list[bytes]]) -> Counter:
     """word -> number of distinct (word before, word after)."""
     ids, rows = {b"": 0}, []
     for w in texts:
-        i = np.fromiter((ids.setdefault(x, len(ids)) for x in w), np.int64, len(w))
+        i = np.fromiter((ids.setdefault(x, len(ids)) for x in w), np.int32, len(w))
         if len(i):
-            rows.append(np.stack([np.concatenate([[0], i[:-1]]), i, np.concatenate([i[1:], [0]])], axis=1))
+            around = np.zeros((len(i), 3), np.int32)
+            around[1:, 0], around[:, 1], around[:-1, 2] = i[:-1], i, i[1:]
+            rows.append(np.unique(around, axis=0))
     if not rows:
         return Counter()
-    count = np.bincount(np.unique(np.concatenate(rows), axis=0)[:, 1], minlength=len(ids))
+    rows = np.concatenate(rows)
+    rows = rows[np.lexsort(rows.T)]
+    new = np.concatenate([[True], (rows[1:] != rows[:-1]).any(1)])
+    count = np.bincount(rows[new, 1], minlength=len(ids))
     return Counter({w: int(count[i]) for w, i in ids.items() if count[i]})
 
 
@@ -99,11 +109,14 @@ def _dictionary(samples: list[bytes], size: int) -> bytes:
 
 def train_dicts(toxic: list[str], plain: list[str]) -> tuple[bytes, bytes]:
     """(toxic, ordinary) dictionary of the labelled texts."""
-    toxic, plain = [words(t) for t in toxic], [words(t) for t in plain]
+    pool = {}
+    toxic, plain = _all_words(toxic, pool), _all_words(plain, pool)
+    del pool
     found = stretches(toxic, plain) or Counter(b" " + w + b" " for t in toxic for w in t)
     rows = [s for s, n in sorted(found.items()) for _ in range(min(n, 256))]
     rows = [rows[i] for i in np.random.default_rng(0).permutation(len(rows))]
     lines = [b" ".join([b"", *t[i : i + 8], b""]) for t in plain for i in range(0, len(t), 8)]
+    del toxic, plain
     size = min(32 << 10, 512 + 4 * sum(map(len, found)))
     return _dictionary([b"".join(rows[i : i + 8]) for i in range(0, len(rows), 8)], size), _dictionary(lines, PLAIN_BYTES)
 
