@@ -181,10 +181,10 @@ def _once(entity: str, kind: str, key: bytes) -> str:
     return "".join(reversed(out))
 
 
-def _luhn(digits: str) -> int:
+def _luhn(digits: str) -> str:
     """The check digit that follows ``digits``."""
     odd = [int(c) for c in digits[::-1]]
-    return -sum(x if i % 2 else sum(divmod(2 * x, 10)) for i, x in enumerate(odd)) % 10
+    return str(-sum(x if i % 2 else sum(divmod(2 * x, 10)) for i, x in enumerate(odd)) % 10)
 
 
 def iban_check(iban: str) -> int:
@@ -221,7 +221,7 @@ def surrogate(entity: str, kind: str, key: bytes) -> str:
     if kind == "card":  # the last digit keeps its distance from the check digit
         old, new = ("".join(c for c in x if c.isdigit()) for x in (entity, s))
         last = max(i for i, c in enumerate(entity) if c.isdigit())
-        return f"{s[:last]}{(_luhn(new[:-1]) + int(old[-1]) - _luhn(old[:-1])) % 10}{s[last + 1:]}"
+        return f"{s[:last]}{(int(_luhn(new[:-1])) + int(old[-1]) - int(_luhn(old[:-1]))) % 10}{s[last + 1:]}"
     if kind == "iban":
         old, new = entity.replace(" ", ""), s.replace(" ", "")
         return f"{s[:2]}{(iban_check(new) + int(old[2:4]) - iban_check(old)) % 100:02d}{s[4:]}"

@@ -52,7 +52,7 @@ def test_one_number_in_two_notations():
 
 
 def test_check_digits_keep_their_state_and_distinctness():
-    rights = lambda n: pii._luhn(n[:-1]) == int(n[-1])
+    rights = lambda n: pii._luhn(n[:-1]) == n[-1]
     cards = [f"41111111111{i:05d}" for i in range(3000)]
     got = [pii.surrogate(c, "card", KEY) for c in cards]
     assert len(set(got)) == len(cards) and [rights(c) for c in cards] == [rights(c) for c in got]
