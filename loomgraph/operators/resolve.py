@@ -35,16 +35,33 @@ def symbols(definitions: DataFrame, project: str) -> DataFrame:
     return definitions.withColumn("file_id", qn).withColumn("id", F.concat(qn, F.lit("."), F.col("name")))
 
 
+def _blocks(start, end) -> Column:
+    """The aligned blocks (k, at), 2 ** k lines each, that make up the lines ``start`` to ``end``: at most two of a size."""
+    def of(k):
+        lo, hi = F.call_function("shiftright", start - 1, k) + 1, F.call_function("shiftright", end + 1, k)
+        left, right = F.struct(k.alias("k"), lo.alias("at")), F.struct(k.alias("k"), (hi - 1).alias("at"))
+        return F.array(F.when((lo < hi) & (lo % 2 != 0), left), F.when((lo < hi) & (hi % 2 != 0), right))
+
+    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.length(F.bin(end - start + 1)) - 1), of)))
+
+
 def enclosing(calls: DataFrame, definitions: DataFrame) -> DataFrame:
     """``calls`` with ``caller`` and ``caller_name``: the first function or method, in file order, whose lines hold the call.
 
-    An interval join: equal files, lines in range. Calls outside every function are left out.
+    An interval join by equal keys: lines of a function are dealt into aligned blocks, the first function of each block is
+    kept, and a line looks up the blocks that hold it. So calls never meet all functions of their file. Calls outside every
+    function are left out.
     """
-    fun = definitions.where(F.col("kind").isin("Function", "Method"))
-    fun = fun.select("path", F.col("ordinal").alias("_o"), F.col("id").alias("_id"), F.col("name").alias("_name"), F.col("start_line").alias("_a"), F.col("end_line").alias("_b"))
-    held = calls.join(fun, "path").where((F.col("line") >= F.col("_a")) & (F.col("line") <= F.col("_b")))
-    first = held.groupBy("path", "ordinal").agg(F.min(F.struct("_o", "_id", "_name")).alias("_f"))
-    return calls.join(first, ["path", "ordinal"]).select("*", F.col("_f._id").alias("caller"), F.col("_f._name").alias("caller_name")).drop("_f")
+    fun = definitions.where(F.col("kind").isin("Function", "Method") & (F.col("start_line") <= F.col("end_line")))
+    first = F.struct(F.col("ordinal").alias("_o"), F.col("id").alias("_id"), F.col("name").alias("_name"))
+    spans = fun.groupBy("path", F.col("start_line").cast("long").alias("_a"), F.col("end_line").cast("long").alias("_b")).agg(F.min(first).alias("_f"))
+    spans = spans.select("path", "_f", F.explode(_blocks(F.col("_a"), F.col("_b"))).alias("_s"))
+    spans = spans.groupBy("path", F.col("_s.k").alias("_k"), F.col("_s.at").alias("_at")).agg(F.min("_f").alias("_f"))
+    tops = spans.groupBy("path").agg(F.max("_k").alias("_top"))
+    lines = calls.select("path", "line").distinct().join(tops, "path").select("path", "line", F.explode(F.sequence(F.lit(0), "_top")).alias("_k"))
+    lines = lines.withColumn("_at", F.call_function("shiftright", F.col("line").cast("long"), F.col("_k")))
+    held = lines.join(spans, ["path", "_k", "_at"]).groupBy("path", "line").agg(F.min("_f").alias("_f"))
+    return calls.join(held, ["path", "line"]).select(*calls.columns, F.col("_f._id").alias("caller"), F.col("_f._name").alias("caller_name"))
 
 
 def imported_symbols(imports: DataFrame, definitions: DataFrame) -> DataFrame:
