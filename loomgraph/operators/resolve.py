@@ -64,17 +64,42 @@ def enclosing(calls: DataFrame, definitions: DataFrame) -> DataFrame:
     return calls.join(held, ["path", "line"]).select(*calls.columns, F.col("_f._id").alias("caller"), F.col("_f._name").alias("caller_name"))
 
 
+#: Up to this number of words of a key, texts meet each of them; beyond it they look up their own substrings.
+FEW_WORDS = 256
+
+
+def containing(texts: DataFrame, words: DataFrame, few: int = FEW_WORDS) -> DataFrame:
+    """_key, _text, _word: once each, the words that a text of the same key contains. ``texts``: _key, _text; ``words``: _key, _word.
+
+    A text meets at most ``few`` words. Of a key with more, the substrings of the text that are as long as some word are
+    looked up by equality, so the work does not grow with texts times words.
+    """
+    texts, words = texts.distinct(), words.where("_word IS NOT NULL").distinct()
+    sizes = words.groupBy("_key").agg(F.count(F.lit(1)).alias("_c"), F.collect_set(F.length("_word")).alias("_sizes"))
+    sized = texts.where("_text IS NOT NULL").join(sizes, "_key")
+    met = sized.where(F.col("_c") <= few).join(words, "_key").where(F.contains("_text", "_word")).select("_key", "_text", "_word")
+    fitting = F.filter("_sizes", lambda n: n <= F.length("_text"))
+    own = F.flatten(F.transform(fitting, lambda n: F.transform(F.sequence(F.lit(1), F.length("_text") - n + 1), lambda i: F.substring("_text", i, n))))
+    looked = sized.where(F.col("_c") > few).select("_key", "_text", F.explode(F.array_distinct(own)).alias("_word"))
+    return met.unionByName(looked.join(words, ["_key", "_word"], "left_semi").select("_key", "_text", "_word"))
+
+
 def imported_symbols(imports: DataFrame, definitions: DataFrame) -> DataFrame:
     """path, name, target: what an imported name means: the only symbol of that name, else the first in the module's path.
 
     Type-only imports resolve nothing.
     """
     used = imports.where(~F.coalesce("is_type_only", F.lit(False)))
-    used = used.select("path", "name", F.coalesce("original", "name").alias("_n"), "source", F.col("ordinal").alias("_i"))
-    named = definitions.where(F.col("kind").isin(CALLABLE)).select(F.col("name").alias("_n"), F.col("id").alias("_id"))
-    many = named.groupBy("_n").agg(F.count_distinct("_id").alias("_k"))
     dotted = F.regexp_replace(F.regexp_replace("source", r"^(\.{1,2}/)+|^@?/", ""), "/", ".")
-    found = used.join(named, "_n").join(many, "_n").where((F.col("_k") == 1) | F.col("_id").contains(dotted))
+    used = used.groupBy("path", "name", F.coalesce("original", "name").alias("_n"), dotted.alias("_d")).agg(F.min("ordinal").alias("_i"))
+    # Equal symbols and equal imports meet once, however often they stand.
+    named = definitions.where(F.col("kind").isin(CALLABLE)).select(F.col("name").alias("_n"), F.col("id").alias("_id")).distinct()
+    only = named.groupBy("_n").agg(F.min("_id").alias("_id"), F.count(F.lit(1)).alias("_k"))
+    sure = used.join(only.where("_k = 1"), "_n").select("path", "name", "_i", "_id")
+    several = named.join(only.where("_k > 1").select("_n"), "_n", "left_semi")
+    held = containing(several.select(F.col("_n").alias("_key"), F.col("_id").alias("_text")), used.select(F.col("_n").alias("_key"), F.col("_d").alias("_word")))
+    held = held.groupBy(F.col("_key").alias("_n"), F.col("_word").alias("_d")).agg(F.min("_text").alias("_id"))
+    found = sure.unionByName(used.join(held, ["_n", "_d"]).select("path", "name", "_i", "_id"))
     best = found.groupBy("path", "name").agg(F.min(F.struct("_i", "_id")).alias("_f"))
     return best.select("path", "name", F.col("_f._id").alias("target"))
 

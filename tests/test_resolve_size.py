@@ -42,3 +42,23 @@ def test_enclosing_in_a_crowded_file(spark):
     with within(spark, 60):
         got = r.enclosing(calls, r.symbols(funs, "p")).where(F.col("caller_name") == F.concat(F.lit("f"), F.greatest(F.lit(0), F.col("line") - 50_000))).count()
     assert got == n
+
+
+def test_imports_of_one_name_in_many_modules(spark):
+    """Equal symbols and imports stand many times; the first import with a fitting module counts."""
+    n = 200_000
+    defs = spark.range(n).select(F.concat(F.lit("m"), F.col("id") % 40, F.lit("/x.ts")).alias("path"), F.col("id").alias("ordinal"), F.lit("go").alias("name"), F.lit("Function").alias("kind"), F.lit(1).alias("start_line"), F.lit(9).alias("end_line"))
+    uses = spark.range(n).select(F.concat(F.lit("u"), F.col("id") % 50, F.lit(".ts")).alias("path"), F.col("id").alias("ordinal"), F.lit("go").alias("name"), F.lit(None).cast("string").alias("original"), F.concat(F.lit("./m"), F.col("id") % 50, F.lit("/x")).alias("source"), F.lit(False).alias("is_type_only"))
+    with within(spark, 60):
+        got = {x.path: x.target for x in r.imported_symbols(uses, r.symbols(defs, "p")).collect()}
+    assert got == {f"u{i}.ts": f"p.m{i}.x.go" for i in range(40)}
+
+
+def test_words_in_texts_equal_brute_force(spark):
+    rng = random.Random(4)
+    word = lambda most: "".join(rng.choice("abé") for _ in range(rng.randint(0, most)))
+    texts, words = [(rng.choice("kl"), word(9)) for _ in range(80)] + [("k", None)], [(rng.choice("kl"), word(4)) for _ in range(60)] + [("k", None), ("l", "")]
+    want = sorted({(k, t, w) for k, t in texts for q, w in words if k == q and None not in (t, w) and w in t})
+    a, b = spark.createDataFrame(texts, "_key string, _text string"), spark.createDataFrame(words, "_key string, _word string")
+    for few in (0, 20, 1000):
+        assert sorted(map(tuple, r.containing(a, b, few).collect())) == want
