@@ -174,9 +174,12 @@ def subject_path(path) -> Column:
 def test_edges(definitions: DataFrame, imports: DataFrame) -> DataFrame:
     """source_id, target_id of TESTS edges: functions named in a test's name, and functions a test file imports from its subject."""
     tests = definitions.where(F.col("path").rlike(TEST_FILE) & F.col("kind").isin("Function", "Test"))
-    tests = tests.select(F.col("path").alias("_test_path"), subject_path(F.col("path")).alias("path"), F.col("id").alias("source_id"), F.lower("name").alias("_t"))
-    functions = definitions.where(F.col("kind").isin("Function", "Method")).select("path", F.col("id").alias("target_id"), "name")
-    by_name = tests.join(functions, "path").where(F.contains("_t", F.lower("name"))).select("source_id", "target_id")
+    tests = tests.select(F.col("path").alias("_test_path"), subject_path(F.col("path")).alias("path"), F.col("id").alias("source_id"), F.lower("name").alias("_t")).distinct()
+    functions = definitions.where(F.col("kind").isin("Function", "Method")).select("path", F.col("id").alias("target_id"), "name").distinct()
+    named = functions.select("path", F.lower("name").alias("_word"), "target_id")
+    held = containing(tests.select(F.col("path").alias("_key"), F.col("_t").alias("_text")), named.select(F.col("path").alias("_key"), "_word"))
+    held = held.select(F.col("_key").alias("path"), F.col("_text").alias("_t"), "_word")
+    by_name = tests.join(held, ["path", "_t"]).join(named, ["path", "_word"]).select("source_id", "target_id")
     used = imports.select(F.col("path").alias("_test_path"), "source", F.coalesce("original", "name").alias("name"))
     subject = tests.join(used, "_test_path").where(F.contains("source", F.element_at(F.split(without_extension(F.col("path")), "/"), -1)))
     candidates = subject.join(functions.withColumnRenamed("path", "_own"), "name")

@@ -62,3 +62,15 @@ def test_words_in_texts_equal_brute_force(spark):
     a, b = spark.createDataFrame(texts, "_key string, _text string"), spark.createDataFrame(words, "_key string, _word string")
     for few in (0, 20, 1000):
         assert sorted(map(tuple, r.containing(a, b, few).collect())) == want
+
+
+def test_tests_by_name_in_a_crowded_file(spark):
+    """Every test names one of very many functions of its subject file, many of them twice."""
+    n = 60_000
+    own = lambda kind, path, name: spark.range(2 * n).select(F.lit(path).alias("path"), F.col("id").alias("ordinal"), F.concat(F.lit(name), F.lpad((F.col("id") % n).cast("string"), 6, "0")).alias("name"), F.lit(kind).alias("kind"))
+    defs = own("Function", "a.ts", "f").unionByName(own("Test", "a.test.ts", "runs F"))
+    none = spark.createDataFrame([], "path string, ordinal long, source string, name string, original string")
+    with within(spark, 60):
+        got = r.test_edges(r.symbols(defs, "p"), none)
+        same = F.regexp_extract("source_id", "(.{6})$", 1) == F.regexp_extract("target_id", "(.{6})$", 1)
+        assert got.agg(F.count(F.lit(1)), F.sum(same.cast("int"))).first() == (n, n)
