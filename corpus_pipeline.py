@@ -1,4 +1,4 @@
-"""The training-data pipeline: quality rules, line dedup, near-dedup by shingle similarity, mixing, packing."""
+"""The training-data pipeline: quality rules, line dedup, near-dedup by SimHash tries and shingle similarity, mixing, packing."""
 
 from loomgraph.llm import line_dedup, mixing, near, packing, quality
 from loomgraph.llm.common import cut, noting, sweep, table
@@ -37,7 +37,7 @@ def drop_lines(spark, docs, sf_dir):
 
 @stage
 def drop_near_copies(spark, docs, sf_dir):
-    """One document of each group of near copies (five-word shingles, similarity 0.8 or more) stays."""
+    """One document of each group of near copies (linked by SimHash tries, five-word shingles of similarity 0.8 or more) stays."""
     return near.dedup(docs)
 
 
